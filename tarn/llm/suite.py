@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import seen, site_lines, term_counts
+from tarn.llm import bpe, mixing, quality, seen, site_lines, stuffing, term_counts
 from tarn.plans.session import table
 
 
@@ -38,8 +38,43 @@ def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_blocks(table(spark, d, "docs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, d, "docs"))
+
+
+def p4_curves(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.judged(table(spark, d, "docs")).distinct()
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.token_ids(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.unreachable(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_counts, p2_found, p2_report, p3_found, p3_cleaned, p3_blocks)
+    own = (
+        *(p1_found, p1_counts, p2_found, p2_report, p3_found, p3_cleaned, p3_blocks, p4_found, p4_curves),
+        *(p7_ids, p8_found, p8_mixed, p8_shares, p9_found, p9_statistics),
+    )
     return {f.__name__: f for f in own}
 
 
