@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, mixing, quality, seen, site_lines, stuffing, term_counts
+from tarn.llm import bpe, languages, mixing, quality, seen, site_lines, stuffing, term_counts
 from tarn.plans.session import table
 
 
@@ -46,6 +46,15 @@ def p4_curves(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.judged(table(spark, d, "docs")).distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "docs")
+    return languages.found_languages(docs, stuffing.stuffed_pages(docs))
+
+
+def p6_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.judged_lines(table(spark, d, "docs")).distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents"))
 
@@ -73,7 +82,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         *(p1_found, p1_counts, p2_found, p2_report, p3_found, p3_cleaned, p3_blocks, p4_found, p4_curves),
-        *(p7_ids, p8_found, p8_mixed, p8_shares, p9_found, p9_statistics),
+        *(p6_found, p6_languages, p7_ids, p8_found, p8_mixed, p8_shares, p9_found, p9_statistics),
     )
     return {f.__name__: f for f in own}
 
