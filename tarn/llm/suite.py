@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, languages, mixing, quality, seen, site_lines, stuffing, term_counts
+from tarn.llm import bpe, languages, main_body, mixing, quality, seen, site_lines, stuffing, term_counts
 from tarn.plans.session import table
 
 
@@ -46,6 +46,14 @@ def p4_curves(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.judged(table(spark, d, "docs")).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_body.found_blocks(table(spark, d, "fetched"))
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    return main_body.body_texts(table(spark, d, "fetched"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "docs")
     return languages.found_languages(docs, stuffing.stuffed_pages(docs))
@@ -82,7 +90,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         *(p1_found, p1_counts, p2_found, p2_report, p3_found, p3_cleaned, p3_blocks, p4_found, p4_curves),
-        *(p6_found, p6_languages, p7_ids, p8_found, p8_mixed, p8_shares, p9_found, p9_statistics),
+        *(p5_found, p5_texts, p6_found, p6_languages, p7_ids, p8_found, p8_mixed, p8_shares, p9_found, p9_statistics),
     )
     return {f.__name__: f for f in own}
 
