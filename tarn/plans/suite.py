@@ -1,15 +1,273 @@
-"""The query suite of the search and crawl operators, and its DuckDB counterparts."""
+"""The query suite of the search and crawl operators, over whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, directory):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tarn.functions import encoding, html, jsonio, urls
+from tarn.functions.text import query_terms, tokenize
+from tarn.operators import activity, frontier, index, netpolicy, rank, robots, sketch
+from tarn.plans.oracle import ROBOTS_BODIES, oracle_sql
+from tarn.plans.session import table
+from tarn.streaming.ingest import event_counts
 
-def queries():
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries"]
 
+QUERY = "the index of the archive and a mirror"
 
-def oracle_sql():
-    return {}
+
+def _corpus(spark: SparkSession, d: str) -> index.Index:
+    """documents as an index: the text is the content, there is no title."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("url"), F.col("text").alias("content"), "lang", "source")
+    return index.Index.build(docs, next_id=0, title=None, snippet=None)
+
+
+def _latest(spark: SparkSession, d: str) -> DataFrame:
+    return index.latest_versions(table(spark, d, "docs"))
+
+
+def _docs_index(spark: SparkSession, d: str) -> index.Index:
+    return index.Index.build(_latest(spark, d), next_id=0)
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(rank.search(_corpus(spark, d), "the of and"))
+
+
+def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:
+    tokens = table(spark, d, "documents").select("doc_id", tokenize("text").alias("t"))
+    return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+def query_terms_of_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "docs").select("seq", F.array_join(query_terms("title"), " ").alias("terms"))
+
+
+def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus(spark, d).postings.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+
+
+def postings_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return _docs_index(spark, d).postings
+
+
+def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return _docs_index(spark, d).lengths
+
+
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _docs_index(spark, d).stats().withColumn("avgdl", F.round("avgdl", 6))
+
+
+def term_stats(spark: SparkSession, d: str) -> DataFrame:
+    return index.term_stats(_docs_index(spark, d).postings)
+
+
+def postings_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return _docs_index(spark, d).lookup("mirror")
+
+
+def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(rank.top(_corpus(spark, d), ["the", "of", "and"]))
+
+
+def bm25_many_terms(spark: SparkSession, d: str) -> DataFrame:
+    from tarn.functions.text import tokenize_local
+
+    return _rounded(rank.top(_corpus(spark, d), tokenize_local(QUERY), k=100))
+
+
+def bm25_k1_zero(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(rank.top(_corpus(spark, d), ["mirror", "archive"], k=50, k1=0.0, b=0.0))
+
+
+def bm25_all_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(rank.scores(_docs_index(spark, d), ["mirror", "crawler", "spiegel"]))
+
+
+def bm25_titled(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(rank.search(_docs_index(spark, d), "reading the report", k=20))
+
+
+def bm25_in_language(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "documents").where(F.lower("lang").startswith("de"))
+    return _rounded(rank.top(_corpus(spark, d), ["der", "archiv"], k=20, where=own))
+
+
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fetched").select("fetch_id", html.title("html").alias("title"))
+
+
+def page_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fetched").where("html is not null").select("fetch_id", html.description("html").alias("description"))
+
+
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fetched").select("fetch_id", html.strip_tags("html").alias("text"))
+
+
+def page_documents(spark: SparkSession, d: str) -> DataFrame:
+    return html.documents_of(table(spark, d, "fetched"))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fetched").where("html is not null").select("fetch_id", "url", F.posexplode(html.links("html", "url")).alias("at", "link"))
+
+
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d).select("fetch_id", F.col("at").cast("long").alias("link_no"), "link")
+
+
+def link_in_degree(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d).select("url", "link").distinct().groupBy("link").agg(F.count("*").alias("n"))
+
+
+def link_out_degree(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d).groupBy("url").agg(F.count("*").alias("n"), F.count_distinct("link").alias("n_distinct"))
+
+
+def crawl_reachable(spark: SparkSession, d: str) -> DataFrame:
+    edges = _links(spark, d).select(F.col("url").alias("src"), F.col("link").alias("dst")).distinct()
+    seeds = table(spark, d, "fetched").select("url")
+    return frontier.reachable(edges, seeds, 2)
+
+
+def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    own = index.with_stable_ids(table(spark, d, "docs").select("seq", "url", "title"))
+    return own.select("doc_id", "url", "seq", "title")
+
+
+def delete_documents(spark: SparkSession, d: str) -> DataFrame:
+    own = _docs_index(spark, d)
+    return index.term_stats(own.remove(own.docs.where("source = 'onion'")).postings)
+
+
+def frontier_first_offers(spark: SparkSession, d: str) -> DataFrame:
+    return frontier.effective_priority(frontier.first_offers(table(spark, d, "frontier"))).select("url", "seq", "depth", "priority")
+
+
+def frontier_unseen(spark: SparkSession, d: str) -> DataFrame:
+    return frontier.first_offers(table(spark, d, "frontier"), table(spark, d, "fetched").where("url is not null")).select("url", "seq")
+
+
+def frontier_admitted(spark: SparkSession, d: str) -> DataFrame:
+    return frontier.admit(table(spark, d, "frontier"), room=frontier.MAX_PAGES).select("url", "seq", "depth", "priority")
+
+
+def frontier_order(spark: SparkSession, d: str) -> DataFrame:
+    return frontier.in_order(frontier.first_offers(table(spark, d, "frontier"))).select("seq", "position")
+
+
+def frontier_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return frontier.schedule(frontier.first_offers(table(spark, d, "frontier"))).select("seq", "domain", "wait_ms")
+
+
+def robots_parse(spark: SparkSession, d: str) -> DataFrame:
+    bodies = spark.createDataFrame(ROBOTS_BODIES, "origin string, body string")
+    return robots.parse_robots(bodies)
+
+
+def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
+    bodies = spark.createDataFrame(ROBOTS_BODIES, "origin string, body string")
+    offers = table(spark, d, "frontier").where("url is not null").select("url").distinct()
+    return robots.allowed(offers, robots.parse_robots(bodies)).select("url", "origin", "path", "allowed")
+
+
+def url_parts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "frontier").where("url is not null").select("url").distinct()
+    return rows.select("url", urls.domain_of("url").alias("domain"), urls.origin_of("url").alias("origin"), urls.path_of("url").alias("path"), urls.is_robots_url("url").alias("robots"), urls.source_of("url").alias("source"))
+
+
+def normalized_urls(spark: SparkSession, d: str) -> DataFrame:
+    bare = F.concat(F.lit(" "), F.regexp_replace("url", "^https?://", ""), F.lit("\t"))
+    return table(spark, d, "docs").where("url is not null").select("seq", urls.normalize_url("url").alias("whole"), urls.normalize_url(bare).alias("bare")).distinct()
+
+
+def search_envelope(spark: SparkSession, d: str) -> DataFrame:
+    hits = _rounded(rank.search(_docs_index(spark, d), "mirror", k=20))
+    item = F.struct("title", "url", "snippet", "score", "source")
+    listed = hits.agg(F.count("*").alias("count"), F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("rows"))
+    return listed.select(F.lit("mirror").alias("query"), "count", F.array_join(F.transform("rows", lambda r: r["item"]["url"]), "\n").alias("urls"))
+
+
+def event_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", jsonio.get_number("props", "$.k", -1.0).alias("k"), jsonio.get_string("props", "$.none", "absent").alias("none"))
+
+
+def escaped_titles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "docs").select("seq", encoding.escape_html("title").alias("title")).distinct()
+
+
+def decoded_queries(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "frontier").where("url like '%?%'").select("url").distinct()
+    return rows.select("url", encoding.query_param("url", "id").alias("id"), encoding.url_decode(encoding.query_param("url", "id")).alias("decoded"))
+
+
+def base64url_titles(spark: SparkSession, d: str) -> DataFrame:
+    coded = encoding.to_base64url("title")
+    return table(spark, d, "docs").where("title is not null").select("seq", coded.alias("coded"), encoding.from_base64url(coded).cast("string").alias("back")).distinct()
+
+
+def isolation_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "docs").where("url is not null").select("url", netpolicy.isolation_token("url").alias("token")).distinct()
+
+
+def bloom_geometry(spark: SparkSession, d: str) -> DataFrame:
+    per_lang = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    bits, hashes = sketch.geometry_columns(F.col("n"), F.lit(0.01))
+    return per_lang.select("source", "n", bits.alias("bits"), hashes.alias("hashes"))
+
+
+def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the frontier's urls the sketch of the fetched ones may hold; all fetched ones are."""
+    fetched = table(spark, d, "fetched").select("url").where("url is not null").distinct()
+    offers = table(spark, d, "frontier").select("url").where("url is not null").distinct()
+    bits, hashes = sketch.geometry(fetched.count())
+    held = sketch.probe(fetched, "url", sketch.build(fetched, "url", bits, hashes), bits, hashes)
+    asked = sketch.probe(offers, "url", sketch.build(fetched, "url", bits, hashes), bits, hashes)
+    n = F.count("*").alias("n")
+    return held.groupBy("maybe").agg(n).withColumn("of", F.lit("held")).unionByName(asked.groupBy("maybe").agg(n).withColumn("of", F.lit("offered")))
+
+
+def activity_recent(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "events").select("event_id", "event_type", "ts")
+    return activity.recent(own, order=("ts", "event_id")).select("event_id", "event_type", activity.format_time("ts").alias("told_at"))
+
+
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    return event_counts(table(spark, d, "events"), "1 day").select(activity.format_time("start").alias("start"), "event_type", "n")
+
+
+def backoff_schedule(spark: SparkSession, d: str) -> DataFrame:
+    attempts = spark.range(8).withColumnRenamed("id", "attempt")
+    return attempts.select("attempt", netpolicy.backoff_ms(F.col("attempt")).alias("ms"))
+
+
+def proxy_list(spark: SparkSession, d: str) -> DataFrame:
+    specs = spark.createDataFrame([("a.example:9050, b.example:9150",), (":9050",), ("c.example:70000,nocolon",), ("d.example:x, e:1:2",)], "spec string")
+    return netpolicy.parse_proxies(specs).select("host", "port")
+
+
+def fetch_log_stats(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "fetched").select("fetch_id", "url", "ok", "fetched_at").distinct()
+    log = netpolicy.attempts(once.withColumn("ms", F.lit(1.0)), ts="fetch_id")
+    return netpolicy.fetch_stats(log).drop("mean_ms")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = (
+        *(tokenize_documents, query_terms_of_titles, term_frequencies, postings_weighted, doc_lengths, corpus_stats, term_stats, postings_lookup),
+        *(bm25_top10, bm25_many_terms, bm25_k1_zero, bm25_all_scores, bm25_titled, bm25_in_language),
+        *(page_titles, page_descriptions, page_text, page_documents, page_links, link_in_degree, link_out_degree, crawl_reachable),
+        *(upsert_last_wins, delete_documents, frontier_first_offers, frontier_unseen, frontier_admitted, frontier_order, frontier_schedule),
+        *(robots_parse, robots_allowed, url_parts, normalized_urls, search_envelope, event_props, escaped_titles, decoded_queries),
+        *(base64url_titles, isolation_tokens, bloom_geometry, bloom_probe, activity_recent, event_windows, backoff_schedule, proxy_list, fetch_log_stats),
+    )
+    return {f.__name__: f for f in own}
