@@ -51,10 +51,10 @@ def new_urls(offers: DataFrame, late: str = "1 hour", time: str = "queued_at") -
     return offers.withWatermark(time, late).dropDuplicatesWithinWatermark(["url"])
 
 
-def paced(offers: DataFrame, delay_ms: int = 100) -> DataFrame:
+def paced(offers: DataFrame, delay_ms: int = 100, late: str = "10 minutes") -> DataFrame:
     """url, domain, fetch_at_ms: offers of a stream, each at least `delay_ms` after its domain's last.
 
-    State is one number per domain; it goes after ten minutes without offers.
+    State is one number per domain; it goes when the watermark is ten minutes past its last offer.
     """
 
     def pace(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,12 +71,12 @@ def paced(offers: DataFrame, delay_ms: int = 100) -> DataFrame:
                 next_at = start + delay_ms
             yield pd.DataFrame({"url": rows["url"].to_numpy(), "domain": key[0], "fetch_at_ms": at})
         state.update((next_at,))
-        state.setTimeoutDuration(600_000)
+        state.setTimeoutTimestamp(max(next_at, state.getCurrentWatermarkMs()) + 600_000)
 
-    rows = offers.where("url is not null").select(
-        "url", domain_of("url").alias("domain"), F.coalesce("priority", F.lit(0)).alias("priority"), "seq", F.unix_millis("queued_at").alias("at_ms")
+    rows = offers.where("url is not null").withWatermark("queued_at", late).select(
+        "url", "queued_at", domain_of("url").alias("domain"), F.coalesce("priority", F.lit(0)).alias("priority"), "seq", F.unix_millis("queued_at").alias("at_ms")
     )
-    return rows.groupBy("domain").applyInPandasWithState(pace, "url string, domain string, fetch_at_ms long", "next_at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("domain").applyInPandasWithState(pace, "url string, domain string, fetch_at_ms long", "next_at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
