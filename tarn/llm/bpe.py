@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tarn.plans.session import spread
+
 #: Fixed value: the pattern that splits text before merging, as published with the vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -155,7 +157,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", dir
     content = read_vocabulary(directory, vocabulary)
     kind = documents.select(key).schema[0].dataType.simpleString()
     return (
-        documents.select(documents[key].alias("id"), documents[text].alias("text"))
+        spread(documents.select(documents[key].alias("id"), documents[text].alias("text")))
         .mapInArrow(lambda batches: encode_batches(batches, content), f"id {kind}, ids array<int>")
         .withColumnRenamed("id", key)
     )

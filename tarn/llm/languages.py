@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.labels import named_language
+from tarn.plans.session import spread
 
 MAX_GRAM = 4
 PROFILE = 2000  # grams of a profile
@@ -161,7 +162,7 @@ def fit_profiles(docs: DataFrame, text: str = "content", label: str = "lang", ma
         labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     ranks: dict[str, dict[str, int]] | None = None
     for _ in range(2):
-        counted = labelled.mapInArrow(lambda batches, given=ranks: _count_grams(batches, given), "lang string, gram string, n long")
+        counted = spread(labelled).mapInArrow(lambda batches, given=ranks: _count_grams(batches, given), "lang string, gram string, n long")
         total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         tie = F.crc32(F.encode("gram", "UTF-8"))
         top = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), tie)) - 1).where(F.col("rank") < PROFILE)
@@ -190,7 +191,7 @@ def judged_lines(docs: DataFrame, key: str = "seq", text: str = "content", label
             )
 
     rows = docs.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(text).alias("text"))
-    return rows.mapInArrow(judge, f"key {kind}, label string, line_no int, lang string, confidence double").withColumnRenamed("key", key)
+    return spread(rows).mapInArrow(judge, f"key {kind}, label string, line_no int, lang string, confidence double").withColumnRenamed("key", key)
 
 
 def found_languages(docs: DataFrame, stuffed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tarn.llm.blocks import HEADINGS, block_key, common_subsequence, page_blocks, site_pattern
 from tarn.llm.hosts import site
 from tarn.plans.ids import dense_ids
-from tarn.plans.session import cut
+from tarn.plans.session import cut, spread
 
 NEIGHBOURS = 4  # pages compared on either side
 GROUP_URLS = 32  # urls whose pages one call judges
@@ -53,7 +53,8 @@ def parsed_pages(fetched: DataFrame) -> DataFrame:
     """Blocks of every page with html: failed fetches, empty pages and null urls give no row."""
     path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([\s\S]*)$", 1)
     pages = fetched.where(F.col("url").isNotNull() & (F.length("html") > 0) & F.col("fetch_id").isNotNull())
-    return pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), site("url").alias("host"), path.alias("path"), "html").mapInArrow(_parse, _PARSED)
+    rows = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), site("url").alias("host"), path.alias("path"), "html")
+    return spread(rows).mapInArrow(_parse, _PARSED)
 
 
 def _judge(table: pa.Table) -> pa.Table:

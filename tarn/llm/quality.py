@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.prose import word_weights
+from tarn.plans.session import spread
 
 MIN_PROSE = 0.68  # mean word weight of running text
 MIN_PROSE_UNENDED = 0.85  # the same where no line ends a sentence
 MIN_PROSE_CHARS = 0.4  # mean weight by characters, symbols and codes counting 0
-MAX_LEVEL = 8.0  # occurrences per distinct word
+MAX_LEVEL = 8.0  # occurrences per distinct word, in texts of up to MAX_LEVEL * MIN_TYPES words
+MIN_TYPES = 40  # distinct words that a longer text has at least
 MAX_GARBLED = 0.03  # share of words with letters decoded wrongly
 MIN_CHARS = 40  # shorter texts are not judged
 _FIELDS = (
@@ -77,7 +79,7 @@ class Measure:
             prose >= MIN_PROSE
             and prose_chars >= MIN_PROSE_CHARS
             and (prose >= MIN_PROSE_UNENDED or bool(self.sentence.search(text)))
-            and level <= max(MAX_LEVEL, n**0.5 / 3)
+            and level <= max(MAX_LEVEL, n / MIN_TYPES)
             and garbled < MAX_GARBLED
         )
         return (
@@ -119,7 +121,7 @@ def statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
-    return documents.select(documents[key].alias("key"), documents[text].alias("text")).mapInArrow(measure, f"key {kind}, {_FIELDS}").withColumnRenamed("key", key)
+    return spread(documents.select(documents[key].alias("key"), documents[text].alias("text"))).mapInArrow(measure, f"key {kind}, {_FIELDS}").withColumnRenamed("key", key)
 
 
 def not_prose(documents: DataFrame, common_words: DataFrame) -> DataFrame:
