@@ -23,12 +23,14 @@ def curves(docs: DataFrame, key: str = "seq", text: str = "content", label: str
     """key, n_words, n_types, level (n_words / n_types), slope and fit (r2) of the rank-frequency
     line, prose (mean word weight): one row per distinct key and text that has words.
 
-    One exchange brings a page's rows together; explode, count and window stay in its partition.
+    Copies of a row are collapsed before the one exchange, by key and text; explode, count and window
+    then stay in the partition.
     """
     weights = word_weights(docs, text, label)
     model = docs.sparkSession.createDataFrame(list(weights.items()), "word string, weight double")
-    pages = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").repartition("key").dropDuplicates(["key", "text"])
-    spoken = pages.select("key", F.xxhash64("text").alias("version"), F.explode(words("text")).alias("word"))
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text")).where("text is not null")
+    pages = rows.groupBy("key", "version").agg(F.first("text").alias("text"))
+    spoken = pages.select("key", "version", F.explode(words("text")).alias("word"))
     counts = spoken.groupBy("key", "version", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("key", "version").orderBy(F.desc("n"), "word"))
     ranked = counts.join(F.broadcast(model), "word", "left").withColumn("rank", rank)
