@@ -33,26 +33,33 @@ def with_stable_ids(docs: DataFrame, seq: str = "seq", key: str = "url", name: s
     return latest_versions(rows, seq, key).join(firsts.drop("_first"), key)
 
 
-def token_rows(docs: DataFrame, doc_id: str = "doc_id", title: str | None = "title", snippet: str | None = "snippet", content: str | None = "content") -> DataFrame:
-    """doc_id, term, weight: a row per token occurrence."""
-    fields = [(title, TITLE_WEIGHT), (snippet, SNIPPET_WEIGHT), (content, CONTENT_WEIGHT)]
+def fields_of(title: str | None, snippet: str | None, content: str | None) -> list[tuple[str, int]]:
+    return [(f, w) for f, w in ((title, TITLE_WEIGHT), (snippet, SNIPPET_WEIGHT), (content, CONTENT_WEIGHT)) if f]
 
-    def weighed(field: str, weight: int) -> Column:
-        return F.transform(tokenize(field), lambda t: F.struct(t.alias("term"), F.lit(weight).cast("long").alias("weight")))
 
-    parts = [weighed(f, w) for f, w in fields if f]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(*parts)).alias("t")).select("doc_id", "t.term", "t.weight")
+def length_of(title: str | None = "title", snippet: str | None = "snippet", content: str | None = "content") -> Column:
+    """Weighted number of tokens of a row: no explode, no exchange."""
+    total = F.lit(0).cast("long")
+    for field, weight in fields_of(title, snippet, content):
+        total = total + F.size(tokenize(field)).cast("long") * weight
+    return total
 
 
-def postings_of(docs: DataFrame, **fields: str | None) -> DataFrame:
-    """term, doc_id, tf: weighted frequency per document. Documents without tokens have no row."""
-    return token_rows(docs, **fields).groupBy("term", "doc_id").agg(F.sum("weight").alias("tf"))
+def postings_of(docs: DataFrame, title: str | None = "title", snippet: str | None = "snippet", content: str | None = "content") -> DataFrame:
+    """term, doc_id, tf, dl: weighted frequency per document, with the document's length, so that
+    ranking needs no join. Documents without tokens have no row."""
 
+    def weighed(field: str, weight: int) -> Column:
+        return F.transform(tokenize(field), lambda t: F.struct(t.alias("term"), F.lit(weight).cast("long").alias("weight")))
 
-def doc_lengths(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    parts = [weighed(f, w) for f, w in fields_of(title, snippet, content)]
+    rows = docs.select("doc_id", length_of(title, snippet, content).alias("dl"), F.explode(F.concat(*parts)).alias("t"))
+    return rows.groupBy(F.col("t.term").alias("term"), "doc_id").agg(F.sum("t.weight").alias("tf"), F.max("dl").alias("dl"))
+
+
+def doc_lengths(docs: DataFrame, **fields: str | None) -> DataFrame:
     """doc_id, dl of every document, 0 where it has no tokens."""
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    return docs.select("doc_id").distinct().join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    return docs.select("doc_id", length_of(**fields).alias("dl")).groupBy("doc_id").agg(F.sum("dl").alias("dl"))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -62,10 +69,13 @@ def term_stats(postings: DataFrame) -> DataFrame:
 
 def corpus_stats(lengths: DataFrame, terms: DataFrame) -> DataFrame:
     """One row: ndocs, total_terms, avgdl (0.0 without documents), nterms."""
-    docs = lengths.agg(F.count("*").alias("ndocs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_terms"))
-    n = terms.agg(F.count("*").alias("nterms"))
+    numbers = lengths.agg(F.count("*").alias("ndocs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_terms"))
+    both = numbers.withColumn("nterms", F.lit(None).cast("long")).unionByName(
+        terms.agg(F.lit(None).cast("long").alias("ndocs"), F.lit(None).cast("long").alias("total_terms"), F.count("*").alias("nterms"))
+    )
+    row = both.agg(*[F.max(c).alias(c) for c in ("ndocs", "total_terms", "nterms")])
     avgdl = F.when(F.col("ndocs") > 0, F.col("total_terms") / F.col("ndocs")).otherwise(F.lit(0.0))
-    return docs.join(n, F.lit(True)).select("ndocs", "total_terms", avgdl.alias("avgdl"), "nterms")
+    return row.select("ndocs", "total_terms", avgdl.alias("avgdl"), "nterms")
 
 
 @dataclass(frozen=True)
@@ -79,8 +89,7 @@ class Index:
 
     @staticmethod
     def build(docs: DataFrame, next_id: int | None = None, **fields: str | None) -> Index:
-        postings = postings_of(docs, **fields)
-        lengths = doc_lengths(docs, postings)
+        postings, lengths = postings_of(docs, **fields), doc_lengths(docs, **fields)
         if next_id is None:
             next_id = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
         return Index(docs, postings, lengths, next_id)
@@ -93,6 +102,11 @@ class Index:
     def stats(self) -> DataFrame:
         return corpus_stats(self.lengths, term_stats(self.postings))
 
+    def totals(self) -> tuple[int, float]:
+        """Number of documents and their average length: two numbers, on the driver."""
+        row = self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
+        return row["n"], row["total"] / row["n"] if row["n"] else 0.0
+
     def lookup(self, term: str) -> DataFrame:
         """doc_id, tf of one term: the filter reaches the scan of stored postings."""
         return self.postings.where(F.col("term") == term).select("doc_id", "tf")

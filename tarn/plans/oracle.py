@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarn.functions import html
+from tarn.functions.hashing import OFFSET, PRIME
 from tarn.functions.text import FOLD_FROM, FOLD_TO, TOKEN_CLASS
 
 # Inline robots files for two hosts of the test data and one that isn't there.
@@ -161,6 +162,10 @@ SELECT 'mirror' AS query, count(*) AS count, string_agg(url, chr(10) ORDER BY ra
         "escaped_titles": """SELECT DISTINCT seq, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS title FROM docs""",
         "decoded_queries": "SELECT DISTINCT url, regexp_extract(url, '(?:^|[?&])id=([^&#]*)', 1) AS id, url_decode(regexp_extract(url, '(?:^|[?&])id=([^&#]*)', 1)) AS decoded FROM frontier WHERE url LIKE '%?%'",
         "base64url_titles": "SELECT DISTINCT seq, translate(rtrim(base64(encode(title)), '='), '+/', '-_') AS coded, title AS back FROM docs WHERE title IS NOT NULL",
+        "isolation_tokens": f"""WITH u AS (SELECT DISTINCT url, {_DOMAIN} AS domain FROM docs WHERE url IS NOT NULL),
+h AS (SELECT url, list_reduce(list_prepend({OFFSET}::HUGEINT, list_transform(regexp_extract_all(hex(encode(domain)), '..'), lambda b: CAST('0x' || b AS HUGEINT))),
+  lambda acc, b: xor(acc, b) * {PRIME}::HUGEINT % 18446744073709551616::HUGEINT) AS h FROM u)
+SELECT url, 's-' || lpad(lower(to_hex(CAST(h AS UBIGINT))), 16, '0') AS token FROM h""",
         "bloom_geometry": """SELECT source, n, CAST(ceil(-n * ln(0.01::DOUBLE) / (ln(2::DOUBLE) * ln(2::DOUBLE))) AS BIGINT) AS bits,
 greatest(1, CAST(round(ceil(-n * ln(0.01::DOUBLE) / (ln(2::DOUBLE) * ln(2::DOUBLE))) / n * ln(2::DOUBLE)) AS BIGINT)) AS hashes
 FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)""",

@@ -19,10 +19,16 @@ __all__ = ["flagship", "oracle_sql", "queries"]
 QUERY = "the index of the archive and a mirror"
 
 
+UNTITLED = {"title": None, "snippet": None}
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """documents as untitled documents of the index."""
+    return table(spark, d, "documents").select("doc_id", "url", F.col("text").alias("content"), "lang", "source")
+
+
 def _corpus(spark: SparkSession, d: str) -> index.Index:
-    """documents as an index: the text is the content, there is no title."""
-    docs = table(spark, d, "documents").select("doc_id", F.col("url"), F.col("text").alias("content"), "lang", "source")
-    return index.Index.build(docs, next_id=0, title=None, snippet=None)
+    return index.Index.build(_texts(spark, d), next_id=0, **UNTITLED)
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +61,7 @@ def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return _docs_index(spark, d).postings
+    return _docs_index(spark, d).postings.drop("dl")
 
 
 def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
@@ -75,13 +81,13 @@ def postings_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(rank.top(_corpus(spark, d), ["the", "of", "and"]))
+    return _rounded(rank.scan_top(_texts(spark, d), ["the", "of", "and"], **UNTITLED))
 
 
 def bm25_many_terms(spark: SparkSession, d: str) -> DataFrame:
     from tarn.functions.text import tokenize_local
 
-    return _rounded(rank.top(_corpus(spark, d), tokenize_local(QUERY), k=100))
+    return _rounded(rank.scan_top(_texts(spark, d), tokenize_local(QUERY), k=100, **UNTITLED))
 
 
 def bm25_k1_zero(spark: SparkSession, d: str) -> DataFrame:

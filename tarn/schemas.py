@@ -16,7 +16,7 @@ DOCS = T.StructType(
         T.StructField("depth", T.IntegerType()),
     ]
 )
-POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("tf", T.LongType())])
+POSTINGS = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType())])
 DOC_STATS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("dl", T.LongType())])
 FETCHED = T.StructType(
     [T.StructField("url", T.StringType()), T.StructField("ok", T.BooleanType()), T.StructField("html", T.StringType()), T.StructField("error", T.StringType())]

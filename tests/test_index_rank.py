@@ -87,3 +87,18 @@ def test_search_reads_only_matching_postings(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "p"))
     plan = stored.where(stored.term.isin(["fox"]))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "fox" in plan
+
+
+def test_scan_scores_equal_the_index(spark):
+    rows = [(i, "", "the fox" if i % 3 else "", "a", f"the quick fox {'jumps ' * (i % 5)}", "clearweb", 0) for i in range(1, 30)] + [(30, "", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOC)
+    for terms in (["fox", "the", "jumps"], ["nothing"], []):
+        indexed = {r.doc_id: r.score for r in rank.scores(Index.build(docs), terms).collect()}
+        scanned = {r.doc_id: r.score for r in rank.scan_scores(docs, terms).collect()}
+        assert scanned == pytest.approx(indexed)
+    assert rank.scan_top(docs.where("false"), ["fox"]).count() == 0
+
+
+def test_ranking_plan_has_no_join(spark):
+    plan = rank.scores(index(spark, ("", "fox"), ("", "dog")), ["fox"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
