@@ -117,5 +117,12 @@ SELECT term, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN recor
         "p1_found": f"SELECT term, mark FROM ({marked}) WHERE mark IS NOT NULL",
         "p2_found": """SELECT DISTINCT f.seq FROM frontier f
 JOIN (SELECT url, min(seq) AS s FROM frontier WHERE url IS NOT NULL GROUP BY url) m ON f.url = m.url AND f.seq > m.s""",
+        "p3_cleaned": f"""WITH d0 AS (SELECT DISTINCT seq, doc_id, url, content FROM docs), {_LINES},
+r AS (SELECT DISTINCT seq, url, line_no FROM l JOIN k USING (site, k)),
+x AS (SELECT seq, doc_id, url, content, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM d0),
+kept AS (SELECT x.seq, x.doc_id, x.url, x.content, coalesce(string_agg(line, chr(10) ORDER BY x.line_no) FILTER (r.line_no IS NULL), '') AS text, count(r.line_no) AS removed
+  FROM x LEFT JOIN r ON x.seq = r.seq AND x.url = r.url AND x.line_no = r.line_no GROUP BY ALL)
+SELECT d0.seq, d0.doc_id, d0.url, CASE WHEN d0.content IS NULL THEN NULL ELSE kept.text END AS content, CAST(coalesce(removed, 0) AS INTEGER) AS removed
+FROM d0 LEFT JOIN kept ON d0.seq = kept.seq AND d0.doc_id IS NOT DISTINCT FROM kept.doc_id AND d0.url IS NOT DISTINCT FROM kept.url AND d0.content = kept.content""",
         "p3_found": f"WITH {_LINES} SELECT DISTINCT seq, CAST(line_no AS INTEGER) AS line_no FROM l JOIN k USING (site, k)",
     }
