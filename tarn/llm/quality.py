@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tarn.llm.prose import word_weights
 from tarn.plans.session import spread
 
-MIN_PROSE = 0.68  # mean word weight of running text
+MIN_PROSE = 0.62  # mean word weight of running text
 MIN_PROSE_UNENDED = 0.85  # the same where no line ends a sentence
 MIN_PROSE_CHARS = 0.4  # mean weight by characters, symbols and codes counting 0
 MAX_LEVEL = 8.0  # occurrences per distinct word, in texts of up to MAX_LEVEL * MIN_TYPES words
