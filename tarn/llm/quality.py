@@ -18,10 +18,10 @@ from tarn.plans.session import spread
 
 MIN_PROSE = 0.62  # mean word weight of running text
 MIN_PROSE_UNENDED = 0.85  # the same where no line ends a sentence
-MIN_PROSE_CHARS = 0.4  # mean weight by characters, symbols and codes counting 0
+MIN_PROSE_CHARS = 0.28  # mean weight by characters, symbols and codes counting 0
 MAX_LEVEL = 8.0  # occurrences per distinct word, in texts of up to MAX_LEVEL * MIN_TYPES words
 MIN_TYPES = 40  # distinct words that a longer text has at least
-MAX_GARBLED = 0.03  # share of words with letters decoded wrongly
+MAX_GARBLED = 0.015  # share of words with letters decoded wrongly
 MIN_CHARS = 40  # shorter texts are not judged
 _FIELDS = (
     "n_chars long, n_words long, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines long, "

@@ -11,22 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.hosts import lines
 from tarn.llm.prose import word_weights, words
 from tarn.plans.session import cut
 
-MIN_PROSE = 0.58  # mean word weight below which a page isn't running text
-SURE_PROSE = 0.75  # from here it is; between the two, sentences decide
-MIN_ENDED = 0.25  # share of characters in lines that end a sentence
-ENDED = r"[.!?…][\"'”’»)\]]*\s*$"
-MAX_LEVEL = 3.0  # times the median occurrences per word at its length
+MIN_PROSE = 0.62  # mean word weight below which a page isn't running text
+SURE_PROSE = 0.85  # from here it is; between the two, repetition decides
+DOUBTED_LEVEL = 1.18  # times the median occurrences per word at its length, where the weight leaves doubt
+MAX_LEVEL = 3.0  # the same, whatever the weight
 LEVEL_WORDS = 12  # words from which the level is judged
 
 
 def curves(docs: DataFrame, key: str = "seq", text: str = "content", label: str = "lang") -> DataFrame:
     """key, n_words, n_types, level (n_words / n_types), slope and fit (r2) of the rank-frequency
-    line, prose (mean word weight), ended (share of characters in lines that end a sentence): one
-    row per distinct key and text that has words.
+    line, prose (mean word weight): one row per distinct key and text that has words.
 
     Copies of a row are collapsed before the one exchange, by key and text; explode, count and window
     then stay in the partition.
@@ -35,14 +32,13 @@ def curves(docs: DataFrame, key: str = "seq", text: str = "content", label: str
     model = docs.sparkSession.createDataFrame(list(weights.items()), "word string, weight double")
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text")).where("text is not null")
     pages = rows.groupBy("key", "version").agg(F.first("text").alias("text"))
-    length = F.aggregate(F.filter(lines("text"), lambda x: x.rlike(ENDED)), F.lit(0), lambda n, x: n + F.length(x))
-    spoken = pages.select("key", "version", (length / F.length("text")).alias("ended"), F.explode(words("text")).alias("word"))
-    counts = spoken.groupBy("key", "version", "ended", "word").agg(F.count("*").alias("n"))
+    spoken = pages.select("key", "version", F.explode(words("text")).alias("word"))
+    counts = spoken.groupBy("key", "version", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("key", "version").orderBy(F.desc("n"), "word"))
     ranked = counts.join(F.broadcast(model), "word", "left").withColumn("rank", rank)
     x, y = F.log("rank"), F.log("n")
     return (
-        ranked.groupBy("key", "version", "ended")
+        ranked.groupBy("key", "version")
         .agg(
             F.sum("n").alias("n_words"),
             F.count("*").alias("n_types"),
@@ -63,9 +59,9 @@ def judged(docs: DataFrame, key: str = "seq", text: str = "content", label: str
     """
     own = cut(curves(docs, key, text, label).withColumn("length_class", F.floor(F.log2("n_words")).cast("int")))
     usual = own.groupBy("length_class").agg(F.percentile_approx("level", 0.5, F.lit(1000)).alias("usual_level"))
-    over = (F.col("n_words") >= LEVEL_WORDS) & (F.col("level") > MAX_LEVEL * F.col("usual_level"))
-    unlike = (F.col("prose") < MIN_PROSE) | ((F.col("prose") < SURE_PROSE) & (F.col("ended") < MIN_ENDED))
-    return own.join(F.broadcast(usual), "length_class").withColumn("stuffed", over | unlike).drop("length_class")
+    excess = F.when(F.col("n_words") >= LEVEL_WORDS, F.col("level") / F.col("usual_level")).otherwise(F.lit(1.0))
+    doubted = (F.col("prose") < SURE_PROSE) & (excess > DOUBTED_LEVEL)
+    return own.join(F.broadcast(usual), "length_class").withColumn("stuffed", (F.col("prose") < MIN_PROSE) | doubted | (excess > MAX_LEVEL)).drop("length_class")
 
 
 def stuffed_pages(docs: DataFrame) -> DataFrame:
