@@ -23,7 +23,8 @@ MAX_GRAM = 4
 PROFILE = 2000  # grams of a profile
 MAX_SAMPLE = 20_000  # labelled rows the profiles are fitted on, at most (in expectation)
 MIN_WORDS = 4  # of a line of running text
-MIN_MARGIN = 0.05  # by which a line must be nearer to another language than to its text's
+CLEAR = 0.6  # share of the running text from which its language isn't in doubt
+MIN_MARGIN = 0.15  # by which a line must be nearer to another language than to its text's
 REMEMBERED = 1 << 17  # words and lines a task remembers
 
 
@@ -48,7 +49,8 @@ class Profiles:
 
         self.unescape = html.unescape
         self.word = regex.compile(r"\p{L}+")
-        self.end = regex.compile(r"\p{L}.*[.!?…。！？][\"'”’»)\]]*\s*$", regex.S)
+        closing = r"[\"'”’»)\]]*"
+        self.end = regex.compile(rf"[\p{{L}}\p{{N}}]{closing}[.!?…。！？]+{closing}(?:\s|$)")
         self.langs = sorted(ranks)
         known = sorted({g for r in ranks.values() for g in r})
         self.table = np.full((len(known), len(self.langs)), -1, dtype=np.int32)
@@ -92,7 +94,7 @@ class Profiles:
         return out.sum(axis=0) / (PROFILE * len(ids))
 
     def running(self, line: str) -> tuple[int, np.ndarray] | None:
-        """(characters, distances) of a line that holds sentences, else None."""
+        """(characters, distances) of a line that holds a sentence's end and some words, else None."""
         text = " ".join(self.unescape(line).split())
         if text not in self.lines:
             if len(self.lines) > REMEMBERED:
@@ -109,7 +111,8 @@ class Profiles:
     def judge(self, text: str) -> list[tuple[int, str, float]]:
         """(line_no, language, confidence): line 0 for the text, then its lines in other languages.
 
-        The language of a text is the one with most characters of running lines. Confidence is, for
+        The language of a text is the one with most characters of running lines; where that is close,
+        headings and other lines count too. Confidence is, for
         a text, the share of its running characters in that language; for a line, how much nearer it
         is than the text's language, relative to that.
         """
@@ -122,6 +125,14 @@ class Profiles:
         for _, (chars, d) in lines:
             share[int(d.argmin())] += chars
         main = int(share.argmax())
+        if share[main] < CLEAR * share.sum():
+            rest = share.copy()
+            running = {i for i, _ in lines}
+            for i, line in enumerate(text.split("\n"), 1):
+                words = self.word.findall(self.unescape(line).lower()) if i not in running else []
+                if len(words) > 1:
+                    rest[int(self.distances(words).argmin())] += len(line)
+            main = int(rest.argmax())
         out = [(0, self.langs[main], float(share[main] / share.sum()))]
         for i, (_, d) in lines:
             best = int(d.argmin())
