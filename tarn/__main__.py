@@ -1,4 +1,4 @@
-"""Shell: python -m tarn [--load DIR]; commands search, crawl, save, load, status, activity, help, exit."""
+"""Shell: python -m tarn [--load DIR] [--source http]; type help for its commands."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import argparse
 import sys
 
 from tarn.api import Engine, timed_search
+from tarn.operators.frontier import MAX_DEPTH, MAX_PAGES, CrawlOptions
 from tarn.plans.session import local_session
+from tarn.sources.pages import HttpSource, StubSource
 
 HELP = "search TEXT | crawl URL | save DIR | load DIR | save-sealed DIR PASSWORD | load-sealed DIR PASSWORD | status | activity | exit"
 
@@ -38,8 +40,16 @@ def main() -> None:
     options = argparse.ArgumentParser(description=__doc__)
     options.add_argument("--load", help="directory of a saved index")
     options.add_argument("--cores", default="4")
+    options.add_argument("--source", choices=("stub", "http"), default="stub", help="where pages come from")
+    options.add_argument("--proxy", help="proxy url of the http source")
+    options.add_argument("--retries", type=int, default=2, help="tries after a transient error")
+    options.add_argument("--max-pages", type=int, default=MAX_PAGES)
+    options.add_argument("--max-depth", type=int, default=MAX_DEPTH)
+    options.add_argument("--ignore-robots", action="store_true")
     chosen = options.parse_args()
-    engine = Engine(local_session(chosen.cores))
+    source = HttpSource(retries=chosen.retries, proxy=chosen.proxy) if chosen.source == "http" else StubSource()
+    limits = CrawlOptions(max_pages=chosen.max_pages, max_depth=chosen.max_depth, obey_robots=not chosen.ignore_robots)
+    engine = Engine(local_session(chosen.cores), source, limits)
     if chosen.load:
         engine.load(chosen.load)
     else:

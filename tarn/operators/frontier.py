@@ -96,9 +96,18 @@ def _strict_links(found: DataFrame, known: set[str], room: int) -> list[tuple[st
     return out
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], options: CrawlOptions | None = None) -> Crawl:
+def crawl(
+    seeds: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    options: CrawlOptions | None = None,
+    on_level: Callable[[DataFrame, DataFrame], None] | None = None,
+    stopped: Callable[[], bool] | None = None,
+) -> Crawl:
     """Breadth-first by levels, one job chain a level.
 
+    `on_level` is told each level's documents and events as tables; `stopped` is asked before the
+    next level: the level at hand is drained, nothing new is admitted.
+
     `seeds` has url (and may have depth, priority, seq); `fetch` maps url rows to (url, ok, html,
     error). Each level is checkpointed, so a lost executor repeats one level at most. All links of
     a page are followed unless strict_break is set. Blocked and failed pages count as crawled.
@@ -142,8 +151,10 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], options: Cr
         events = told if events is None else events.unionByName(told)
         for r in told.groupBy("kind").count().collect():
             counts[r["kind"]] += r["count"]
+        if on_level:
+            on_level(own_docs, told)
         room = options.max_pages - accepted
-        if level_no + 1 > options.max_depth or room <= 0:
+        if level_no + 1 > options.max_depth or room <= 0 or (stopped and stopped()):
             break
         found = good.where(F.col("depth") < options.max_depth).select("url", "depth", "priority", "seq", links("html", "url").alias("links"))
         if options.strict_break:

@@ -40,6 +40,12 @@ def isolation_token(url: Column | str, scope: str = "domain") -> Column:
     return F.concat(F.lit("s-"), fnv1a_hex(domain_of(col) if scope == "domain" else col))
 
 
+def circuit_token(url: Column | str, at_ms: Column, rotate_ms: int = 0, scope: str = "domain") -> Column:
+    """isolation_token(), new after every `rotate_ms`; 0 never rotates."""
+    token = isolation_token(url, scope)
+    return F.concat(token, F.lit("-"), F.floor(at_ms / rotate_ms).cast("string")) if rotate_ms > 0 else token
+
+
 def backoff_ms(attempt: Column, base: float = BACKOFF_BASE_MS, cap: float = BACKOFF_CAP_MS, jitter: Column | None = None) -> Column:
     """min(cap, base * 2^attempt), plus jitter (0 to base; none by default), capped."""
     step = F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt))

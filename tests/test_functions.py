@@ -103,6 +103,12 @@ def test_isolation_tokens(spark):
     assert one(spark, netpolicy.isolation_token(F.lit("x"), "none")) == ""
 
 
+def test_circuits_rotate(spark):
+    url = F.lit("http://h.example/")
+    tokens = [one(spark, netpolicy.circuit_token(url, F.lit(t), 1000)) for t in (0, 999, 1000)]
+    assert tokens[0] == tokens[1] != tokens[2] and one(spark, netpolicy.circuit_token(url, F.lit(5))) == one(spark, netpolicy.isolation_token(url))
+
+
 def test_activity_keeps_the_newest(spark):
     df = spark.createDataFrame([(i,) for i in range(4)], "i long").select(F.timestamp_seconds("i").alias("ts"), "i")
     assert [r.i for r in activity.recent(df, 3).collect()] == [1, 2, 3]

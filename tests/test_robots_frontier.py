@@ -103,3 +103,19 @@ def test_transient_errors(spark):
     df = spark.createDataFrame([("Could not connect: x",), ("status 404",), (None,)], "e string")
     assert [r[0] for r in df.select(is_transient("e")).collect()] == [True, False, False]
     assert df.where(F.lit(False)).count() == 0
+
+
+def test_callbacks_and_stop(spark):
+    told = []
+    seed = spark.createDataFrame([("http://h.example/",)], "url string")
+    done = crawl(seed, StubSource(), on_level=lambda docs, events: told.append((docs.count(), events.count())))
+    assert told == [(1, 1), (3, 3), (2, 2)] and done.crawled == 6
+    assert crawl(seed, StubSource(), stopped=lambda: True).crawled == 1
+
+
+def test_http_source_reports_errors(spark):
+    from tarn.sources.pages import HttpSource
+
+    df = spark.createDataFrame([("http://127.0.0.1:9/x",), ("nonsense",), (None,)], "url string")
+    got = {r.url: (r.ok, r.html) for r in HttpSource(timeout_s=0.5, retries=0)(df).collect()}
+    assert got == {"http://127.0.0.1:9/x": (False, None), "nonsense": (False, None)}
