@@ -13,13 +13,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.blocks import HEADINGS, block_key, common_subsequence, page_blocks, site_pattern
 from tarn.llm.hosts import site
 from tarn.plans.ids import dense_ids
-from tarn.plans.session import cut, spread
+from tarn.plans.session import spread, stored
 
 NEIGHBOURS = 4  # pages compared on either side
 GROUP_URLS = 32  # urls whose pages one call judges
@@ -30,7 +30,7 @@ MIN_RATE = 0.5  # share of its occurrences that are shared
 SALTS = 16
 
 _PARSED = "fetch_id long, host string, path string, texts array<string>, keys array<long>, tags array<string>, places array<string>, free array<int>"
-_JUDGED = "fetch_id long, at int, block string, key long, host string, shared boolean, verdict string"
+_JUDGED = "fetch_id long, page long, at int, key long, host string, shared boolean, verdict string"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,6 +49,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
 
+def page_id() -> Column:
+    """A page by its fetch_id and blocks: rows delivered twice have one."""
+    return F.xxhash64("fetch_id", "keys")
+
+
 def parsed_pages(fetched: DataFrame) -> DataFrame:
     """Blocks of every page with html: failed fetches, empty pages and null urls give no row."""
     path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([\s\S]*)$", 1)
@@ -93,41 +98,44 @@ def _judge(table: pa.Table) -> pa.Table:
                 alone[place] += free
         body = max(places, key=lambda p: (score[page["host"]][p] if alone[p] else -1, alone[p]))
         enough = 1 if others <= 2 else MIN_SHARED
-        for at, (text, key, tag, place, n) in enumerate(zip(page["texts"], page["keys"], page["tags"], page["places"], times, strict=True)):
+        for at, (key, tag, place, n) in enumerate(zip(page["keys"], page["tags"], page["places"], times, strict=True)):
             if place != body:
                 verdict = "elsewhere"
             elif tag in HEADINGS or tag in ("td", "th"):
                 verdict = "kept"  # headings and table cells repeat without being boilerplate
             else:
                 verdict = "shared" if n >= enough else "alone"
-            out.append((page["fetch_id"], at, text if verdict in ("kept", "alone") else None, key, page["host"], n > 0, verdict))
+            out.append((page["fetch_id"], page["page"], at, key, page["host"], n > 0, verdict))
     columns = list(zip(*out, strict=True)) or [[]] * 7
-    types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
     names = [f.split()[0] for f in _JUDGED.split(", ")]
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def judged_blocks(fetched: DataFrame) -> DataFrame:
-    """Every block with its verdict: elsewhere, kept, shared or alone.
+def judged_blocks(pages: DataFrame) -> DataFrame:
+    """Every block of parsed pages with its verdict: elsewhere, kept, shared or alone.
+
+    Texts stay where they are: keys, tags and places decide. `page` names a page among the versions
+    of its fetch_id.
 
     Groups are bounded: GROUP_URLS urls by rank and at most about PART_PAGES of their fetches, and
     one reference page (the latest fetch) of each url in reach. So neither a large host nor a url
     fetched over and over meets in one task.
     """
-    pages = cut(parsed_pages(fetched))
     urls = pages.groupBy("host", "path").agg(F.max("fetch_id").alias("ref_id"), F.count("*").alias("n"))
     ranked = dense_ids(urls, ["host", "path"], "rank").withColumn("group", F.floor(F.col("rank") / GROUP_URLS).cast("long"))
     groups = ranked.groupBy("group").agg(F.ceil(F.sum("n") / PART_PAGES).cast("int").alias("parts"))
     placed = ranked.join(groups, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64("fetch_id"), F.lit(SALTS)).cast("int"))
+    narrow = pages.select("fetch_id", page_id().alias("page"), "host", "path", "keys", "tags", "places", "free")
+    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("fetch_id"), F.lit(SALTS)).cast("int"))
     rows = salted.join(placed, ["host", "path", "salt"])
-    wide = ["fetch_id", "rank", "host", "texts", "keys", "tags", "places", "free"]
+    wide = ["fetch_id", "page", "rank", "host", "keys", "tags", "places", "free"]
     own = rows.select("group", F.pmod(F.xxhash64("fetch_id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("context"), *wide)
     at = F.col("rank") % GROUP_URLS
     reach = F.array_compact(F.array(F.when(at < NEIGHBOURS, F.col("group") - 1), F.col("group"), F.when(at >= GROUP_URLS - NEIGHBOURS, F.col("group") + 1)))
-    no_text = F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
     refs = rows.where(F.col("fetch_id") == F.col("ref_id")).select(
-        F.explode(reach).alias("group"), F.lit(True).alias("context"), "fetch_id", "rank", "host", no_text.alias("texts"), "keys", no_text.alias("tags"), no_text.alias("places"), F.array().cast("array<int>").alias("free")
+        F.explode(reach).alias("group"), F.lit(True).alias("context"), "fetch_id", "page", "rank", "host", "keys", none.alias("tags"), none.alias("places"), F.array().cast("array<int>").alias("free")
     )
     context = refs.join(groups, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", "part", "context", *wide)
     return own.unionByName(context).groupBy("group", "part").applyInArrow(_judge, _JUDGED)
@@ -142,11 +150,14 @@ def everywhere_shared(judged: DataFrame) -> DataFrame:
 
 def body_blocks(fetched: DataFrame) -> DataFrame:
     """fetch_id, at (position in the page), block: the blocks of each page's main body, in order."""
-    judged = cut(judged_blocks(fetched))
+    pages = stored(parsed_pages(fetched))
+    judged = stored(judged_blocks(pages))
     known = everywhere_shared(judged).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     alone = judged.where(F.col("verdict") == "alone").withColumn("salt", F.pmod("fetch_id", F.lit(SALTS)).cast("int")).join(known, ["key", "salt"], "left_anti")
-    kept = judged.where(F.col("verdict") == "kept")
-    return kept.select("fetch_id", "at", "block").unionByName(alone.select("fetch_id", "at", "block"))
+    kept = judged.where(F.col("verdict") == "kept").select("page", "at").unionByName(alone.select("page", "at"))
+    places = kept.groupBy("page").agg(F.collect_set("at").alias("at"))
+    texts = pages.select("fetch_id", page_id().alias("page"), "texts").join(places, "page")
+    return texts.select("fetch_id", F.explode("at").alias("at"), "texts").select("fetch_id", "at", F.col("texts")[F.col("at")].alias("block"))
 
 
 def body_texts(fetched: DataFrame) -> DataFrame:
