@@ -58,11 +58,11 @@ class Profiles:
         for j, lang in enumerate(self.langs):
             for g, rank in ranks[lang].items():
                 self.table[self.base[g], j] = rank
-        self.base_ties = [_tie(g) for g in known]
+        self.base_ties = np.array([_tie(g) for g in known], dtype=np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        self.ids, self.ties = dict(self.base), list(self.base_ties)
+        self.ids, self.ties = dict(self.base), self.base_ties
         self.words: dict[str, np.ndarray] = {}
         self.lines: dict[str, tuple] = {}
 
@@ -73,8 +73,10 @@ class Profiles:
             for g in word_grams(word):
                 i = self.ids.get(g)
                 if i is None:
-                    i = self.ids[g] = len(self.ties)
-                    self.ties.append(_tie(g))
+                    i = self.ids[g] = len(self.ids)
+                    if i >= len(self.ties):
+                        self.ties = np.concatenate([self.ties, np.zeros(max(1024, i), dtype=np.int64)])
+                    self.ties[i] = _tie(g)
                 own.append(i)
             got = self.words[word] = np.array(own, dtype=np.int64)
         return got
@@ -84,8 +86,7 @@ class Profiles:
         if len(self.words) > REMEMBERED:
             self._forget()
         ids, counts = np.unique(np.concatenate([self._word(w) for w in words]), return_counts=True)
-        ties = np.fromiter((self.ties[i] for i in ids.tolist()), dtype=np.int64, count=len(ids))
-        order = np.lexsort((ties, -counts))[:PROFILE]
+        order = np.lexsort((self.ties[ids], -counts))[:PROFILE]
         ids = ids[order]
         inside = ids < len(self.table)
         out = np.full((len(ids), len(self.langs)), PROFILE, dtype=np.int64)
