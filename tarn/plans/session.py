@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,11 +56,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: they import functions by name, and
+    a cluster's nodes needn't have it installed. Spark's file server hands it out."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tarn-")) / f"{package.name}-{sc.applicationId}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """`df`, ready for a function of this package to run over it in Python workers."""
+    ship(df.sparkSession)
+    return df
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """`df` in as many partitions as there are cores at least, for stages that work hard on each row.
+    """shipped(df) in as many partitions as there are cores at least, for stages that work hard on
+    each row.
 
     A table of few files would otherwise keep most cores idle; a large one is left as it is.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

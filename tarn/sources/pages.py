@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.plans.session import shipped
+
 ANSWER = "url string, ok boolean, html string, error string"
 # Errors after which a fetch may be tried again.
 TRANSIENT = ("could not connect", "could not resolve proxy", "receive error", "send error", "empty answer", "timed out", "partial file")
@@ -116,4 +118,4 @@ class HttpSource:
                     ok, html, error = one(url)
                     yield pa.RecordBatch.from_arrays([pa.array([url]), pa.array([ok]), pa.array([html], pa.string()), pa.array([error])], names=["url", "ok", "html", "error"])
 
-        return urls.where(F.col("url").isNotNull()).select("url").mapInArrow(fetch, ANSWER)
+        return shipped(urls.where(F.col("url").isNotNull()).select("url")).mapInArrow(fetch, ANSWER)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tarn.functions.html import documents_of
 from tarn.functions.urls import domain_of
 from tarn.operators.index import Index
+from tarn.plans.session import shipped
 from tarn.sources import store
 
 PAGES = "fetch_id long, url string, ok boolean, html string, error string, fetched_at timestamp"
@@ -76,7 +77,7 @@ def paced(offers: DataFrame, delay_ms: int = 100, late: str = "10 minutes") -> D
     rows = offers.where("url is not null").withWatermark("queued_at", late).select(
         "url", "queued_at", domain_of("url").alias("domain"), F.coalesce("priority", F.lit(0)).alias("priority"), "seq", F.unix_millis("queued_at").alias("at_ms")
     )
-    return rows.groupBy("domain").applyInPandasWithState(pace, "url string, domain string, fetch_at_ms long", "next_at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return shipped(rows).groupBy("domain").applyInPandasWithState(pace, "url string, domain string, fetch_at_ms long", "next_at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def event_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
