@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tarn.llm.blocks import HEADINGS, block_key, common_subsequence, page_blocks, site_pattern
 from tarn.llm.hosts import site
 from tarn.plans.ids import dense_ids
-from tarn.plans.session import spread, stored
+from tarn.plans.session import shipped, spread, stored
 
 NEIGHBOURS = 4  # pages compared on either side
 GROUP_URLS = 32  # urls whose pages one call judges
@@ -138,7 +138,7 @@ def judged_blocks(pages: DataFrame) -> DataFrame:
         F.explode(reach).alias("group"), F.lit(True).alias("context"), "fetch_id", "page", "rank", "host", "keys", none.alias("tags"), none.alias("places"), F.array().cast("array<int>").alias("free")
     )
     context = refs.join(groups, "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", "part", "context", *wide)
-    return own.unionByName(context).groupBy("group", "part").applyInArrow(_judge, _JUDGED)
+    return shipped(own.unionByName(context)).groupBy("group", "part").applyInArrow(_judge, _JUDGED)
 
 
 def everywhere_shared(judged: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.cuckoo import GrowingCuckoo, seen_before
+from tarn.plans.session import shipped
 
 CHUNK = 1 << 20  # rows a task collapses at a time: bounded memory, whatever the split
 _ROWS = "seq long, h long, g long, spread long, repeat boolean"
@@ -83,7 +84,7 @@ def flagged_rows(rows: DataFrame, key: str = "url", order: str = "seq") -> DataF
     hashed = rows.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(
         F.col(order).cast("long").alias("seq"), F.xxhash64(key).alias("h"), F.xxhash64(key, F.lit("second")).alias("g")
     )
-    collapsed = hashed.mapInArrow(_collapse, _ROWS)
+    collapsed = shipped(hashed).mapInArrow(_collapse, _ROWS)
     return collapsed.repartition("spread").drop("spread").sortWithinPartitions("seq", "h", "g").mapInArrow(_ask, _FLAGGED)
 
 

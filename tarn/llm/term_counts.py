@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.plans.ids import dense_ids
+from tarn.plans.session import shipped
 
 BLOCK = 2048  # identifiers a count array covers
 HELD_BLOCKS = 1024  # arrays a task holds before it hands them on: 1024 * 2048 * 16 bytes = 32 MB
@@ -120,7 +121,7 @@ def term_counts(postings: DataFrame) -> DataFrame:
     salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod("doc_id", F.lit(SALTS)).cast("int")
     encoded = pairs.withColumn("salt", salt).join(salted, ["term", "salt"]).select("term_id", "term_freq")
-    partial = encoded.mapInArrow(_accumulate, _PARTIAL)
+    partial = shipped(encoded).mapInArrow(_accumulate, _PARTIAL)
     summed = partial.repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, _COUNTS)
     return summed.join(terms, "term_id").select("term", "term_id", "occurrences", "records")
 
