@@ -7,14 +7,17 @@ has a mean weight about 1, whatever the language; lists, labels, links and codes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.llm.hosts import site
 from tarn.llm.labels import named_language
+from tarn.plans.session import cut
 
 WORD = r"[\p{L}\p{N}]+"
 LETTERS = r"^\p{L}+$"
 MIN_SHARE = 0.02  # of a language's documents; so a language has at most 50 times its mean number of words a document
+MAX_SITE = 0.05  # of a language's documents that one site counts for, at most
 MIN_WORDS = 20  # documents with fewer words teach nothing
 
 
@@ -24,35 +27,65 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
 
 
-def word_weights(texts: DataFrame, text: str, label: str) -> dict[str, float]:
+def word_weights(texts: DataFrame, text: str, label: str, url: str = "url") -> dict[str, float]:
     """Weights learned from all rows whose label names a language.
 
+    A text counts once a language, however often it is delivered, and a site's texts count less
+    where it has more than its cap (site_caps), so that neither copies nor one site's pages make
+    their words look like running ones. Texts of unknown site count as one site's; without a column
+    `url` every text counts alike.
+
     The result is bounded: words in at least MIN_SHARE of a language's documents. Wrong labels are
     a minority in any language and change the shares little.
     """
-    rows = texts.select(named_language(label).alias("lang"), words(text).alias("words")).where(F.col("lang").isNotNull() & (F.size("words") >= MIN_WORDS))
-    counted = rows.select("lang", F.explode(F.array_distinct("words")).alias("word"))
-    per_lang = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not per_lang:
+    host = F.coalesce(site(url), F.lit("")) if url in texts.columns else F.lit("")
+    rows = texts.select(named_language(label).alias("lang"), F.xxhash64(text).alias("version"), host.alias("site"), F.col(text).alias("text")).where("lang is not null")
+    pages = rows.groupBy("lang", "version").agg(F.min("site").alias("site"), F.first("text").alias("text"))
+    # each text has the empty word once besides its own, which counts the texts
+    spoken = pages.withColumn("words", words("text")).where(F.size("words") >= MIN_WORDS).select("lang", "version", "site", F.explode(F.array_append("words", "")).alias("word"))
+    counts = spoken.groupBy("lang", "version", "site", "word").agg(F.count("*").alias("n"))
+    per_site = cut(counts.groupBy("lang", "site", "word").agg(F.count("*").alias("docs"), F.sum("n").alias("n")))
+    sizes = per_site.where("word = ''").select("lang", "site", F.col("docs").alias("texts"))
+    caps = site_caps(sizes)
+    if not caps:
         return {}
-    sizes = F.create_map(*[F.lit(x) for pair in per_lang.items() for x in pair])
-    total = F.element_at(sizes, F.col("lang"))
-    shares = (
-        counted.where(F.col("word").rlike(LETTERS))
-        .groupBy("lang", "word")
-        .agg(F.count("*").alias("docs"))
-        .where(F.col("docs") >= MIN_SHARE * total)
-        .withColumn("share", F.col("docs") / total)
-        .select("lang", "word", "share")
-        .collect()
-    )
-    return _normalised(rows, shares)
-
-
-def _normalised(rows: DataFrame, shares: list) -> dict[str, float]:
-    """Shares over the mean share of the language's running words."""
-    known = rows.sparkSession.createDataFrame(shares, "lang string, word string, share double")
-    running = rows.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    cap = F.element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("lang"))
+    factors = sizes.select("lang", "site", F.least(F.lit(1.0), cap / F.col("texts")).alias("factor"))
+    return _normalised(per_site.join(factors, ["lang", "site"]))
+
+
+def site_caps(sizes: DataFrame) -> dict[str, float]:
+    """For each language the number of texts that a site counts for at most: MAX_SITE of all that
+    count, or twice an even share where sites are few.
+
+    At most 1 / MAX_SITE sites can be above it, so the largest ones and a total say it.
+    """
+    largest = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("texts")))
+    top: dict[str, list[int]] = {}
+    for r in sizes.withColumn("at", largest).where(F.col("at") <= round(1 / MAX_SITE)).orderBy("lang", "at").collect():
+        top.setdefault(r.lang, []).append(r.texts)
+    caps = {}
+    for r in sizes.groupBy("lang").agg(F.sum("texts").alias("texts"), F.count("*").alias("sites")).collect():
+        most, rest = max(MAX_SITE, 2 / r.sites), r.texts
+        caps[r.lang] = float(r.texts)
+        for above, texts in enumerate(top[r.lang]):
+            if above * most >= 1:
+                break
+            caps[r.lang] = most * rest / (1 - most * above)  # with so many sites at the cap
+            if texts <= caps[r.lang]:
+                break
+            rest -= texts
+    return caps
+
+
+def _normalised(used: DataFrame) -> dict[str, float]:
+    """Shares of the words over the mean share of the language's running words."""
+    total = {r.lang: r.n for r in used.where("word = ''").groupBy("lang").agg(F.sum(F.col("docs") * F.col("factor")).alias("n")).collect()}
+    all_texts = F.element_at(F.create_map(*[F.lit(x) for pair in total.items() for x in pair]), F.col("lang"))
+    per_word = used.where(F.col("word").rlike(LETTERS)).groupBy("lang", "word").agg((F.sum(F.col("docs") * F.col("factor"))).alias("docs"))
+    shares = per_word.select("lang", "word", (F.col("docs") / all_texts).alias("share")).where(F.col("share") >= MIN_SHARE).collect()
+    known = used.sparkSession.createDataFrame(shares, "lang string, word string, share double")
+    running = used.where("word <> ''").select("lang", "word", (F.col("n") * F.col("factor")).alias("n"))
     sums = running.join(F.broadcast(known), ["lang", "word"], "left").groupBy("lang").agg((F.sum(F.coalesce("share", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("mean")).collect()
     mean = {r["lang"]: r["mean"] for r in sums}
     weights: dict[str, float] = {}

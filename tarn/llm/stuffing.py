@@ -22,7 +22,7 @@ LEVEL_WORDS = 12  # words from which the level is judged
 
 
 def curves(docs: DataFrame, key: str = "seq", text: str = "content", label: str = "lang") -> DataFrame:
-    """key, n_words, n_types, level (n_words / n_types), slope and fit (r2) of the rank-frequency
+    """key, version (of the text), n_words, n_types, level (n_words / n_types), slope and fit (r2) of the rank-frequency
     line, prose (mean word weight): one row per distinct key and text that has words.
 
     Copies of a row are collapsed before the one exchange, by key and text; explode, count and window
@@ -47,21 +47,20 @@ def curves(docs: DataFrame, key: str = "seq", text: str = "content", label: str
             (F.sum(F.col("n") * F.coalesce("weight", F.lit(0.0))) / F.sum("n")).alias("prose"),
         )
         .withColumn("level", F.col("n_words") / F.col("n_types"))
-        .drop("version")
         .withColumnRenamed("key", key)
     )
 
 
 def judged(docs: DataFrame, key: str = "seq", text: str = "content", label: str = "lang") -> DataFrame:
-    """curves() with usual_level (median of the pages of its length class) and stuffed.
+    """curves() with usual_level (median of the distinct texts of its length class) and stuffed.
 
     Pages without words (null, empty or blank text) give no row.
     """
     own = cut(curves(docs, key, text, label).withColumn("length_class", F.floor(F.log2("n_words")).cast("int")))
-    usual = own.groupBy("length_class").agg(F.percentile_approx("level", 0.5, F.lit(1000)).alias("usual_level"))
+    usual = own.dropDuplicates(["version"]).groupBy("length_class").agg(F.percentile_approx("level", 0.5, F.lit(1000)).alias("usual_level"))
     excess = F.when(F.col("n_words") >= LEVEL_WORDS, F.col("level") / F.col("usual_level")).otherwise(F.lit(1.0))
     doubted = (F.col("prose") < SURE_PROSE) & (excess > DOUBTED_LEVEL)
-    return own.join(F.broadcast(usual), "length_class").withColumn("stuffed", (F.col("prose") < MIN_PROSE) | doubted | (excess > MAX_LEVEL)).drop("length_class")
+    return own.join(F.broadcast(usual), "length_class").withColumn("stuffed", (F.col("prose") < MIN_PROSE) | doubted | (excess > MAX_LEVEL)).drop("length_class", "version")
 
 
 def stuffed_pages(docs: DataFrame) -> DataFrame:

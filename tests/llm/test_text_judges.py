@@ -125,3 +125,35 @@ def test_quality_of_empty_tables(spark, measured):
     df, common = measured
     assert quality.not_prose(df.where("false"), common.where("false")).count() == 0
     assert quality.statistics(df.where("doc_id = 0"), common.where("false")).first().common_words == 0
+
+
+WITH_URL = "seq long, lang string, content string, url string"
+
+
+def spread_pages(rows):
+    return [(k, lang, t, f"http://h{k % 50}.example/{k}") for k, lang, t in rows]
+
+
+def test_copies_of_a_stuffed_page_teach_nothing(spark):
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["cheap relay", "bulk keys", "free mirror", "top vault"]) for _ in range(60))
+    copies = [(1000 + i, "en", text, f"http://c{i}.example/") for i in range(60)]
+    df = spark.createDataFrame(spread_pages(corpus()) + copies + copies[:30], WITH_URL)
+    assert {r.seq for r in stuffing.stuffed_pages(df).collect()} == {r[0] for r in copies}
+    documents, common = df.selectExpr("seq AS doc_id", "content AS text", "lang", "url"), spark.createDataFrame([("en", "the", 1)], "lang string, word string, rank_no int")
+    assert {r.doc_id for r in quality.not_prose(documents, common).collect()} == {r[0] for r in copies}
+
+
+def test_pages_of_a_stuffed_site_teach_nothing(spark):
+    rng = random.Random(4)
+    site = [(1000 + i, "en", " ".join(rng.choice(["cheap relay", "bulk keys", "free mirror", "top vault"]) for _ in range(60)), f"http://S.example:80/{i}") for i in range(60)]
+    df = spark.createDataFrame(spread_pages(corpus()) + site, WITH_URL)
+    assert not {"cheap", "vault"} & {w for w, x in prose.word_weights(df, "content", "lang").items() if x > 0.5}
+    assert {r.seq for r in stuffing.stuffed_pages(df).collect()} == {r[0] for r in site}
+
+
+def test_site_caps(spark):
+    even = [("de", f"s{i}", 10) for i in range(100)]
+    sizes = spark.createDataFrame([*even, ("de", "big", 3000), ("de", "next", 200), ("fr", "a", 7), ("fr", "b", 1)], "lang string, site string, texts long")
+    caps = prose.site_caps(sizes)
+    assert caps["de"] == pytest.approx(prose.MAX_SITE * (1000 + 2 * caps["de"])) and caps["fr"] == 8
