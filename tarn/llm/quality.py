@@ -1,7 +1,8 @@
 """Problem 9: statistics of each text, and prose told from the rest.
 
 Besides counts and shares there are repetition statistics: duplicate lines and paragraphs and the
-characters covered by the most frequent word pair and by the most frequent run of four words.
+characters covered by the most frequent word pair and by the most frequent run of four words. A text
+that consists mostly of repeats isn't prose, however many distinct words it has.
 """
 
 from __future__ import annotations
@@ -19,14 +20,18 @@ from tarn.plans.session import spread
 MIN_PROSE = 0.62  # mean word weight of running text
 MIN_PROSE_UNENDED = 0.85  # the same where no line ends a sentence
 MIN_PROSE_CHARS = 0.28  # mean weight by characters, symbols and codes counting 0
-MAX_LEVEL = 8.0  # occurrences per distinct word, in texts of up to MAX_LEVEL * MIN_TYPES words
-MIN_TYPES = 40  # distinct words that a longer text has at least
+MAX_LEVEL = 8.0  # occurrences per distinct word, in texts of up to MAX_LEVEL * MIN_TYPES words; in longer ones it may grow as the root of their length
+MIN_TYPES = 40
+MAX_REPEATED = 0.5  # share of words in repeats: lines or paragraphs that stood before, or long runs
+MAX_TOP_RUN = 0.5  # share of characters in the most frequent pair or run of four words
+LINE_WORDS = 4  # words of a line or paragraph whose repeats count; shorter ones recur in wrapped text
+RUN_WORDS = 20  # of a long run, more than a sentence has as a rule
 MAX_GARBLED = 0.015  # share of words with letters decoded wrongly
 MIN_CHARS = 40  # shorter texts are not judged
 _FIELDS = (
     "n_chars long, n_words long, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines long, "
     "ended_lines double, common_words double, duplicate_lines double, duplicate_paragraphs double, top_pair_chars double, "
-    "top_four_chars double, level double, prose double, prose_chars double, garbled double, is_prose boolean"
+    "top_four_chars double, repeated double, level double, prose double, prose_chars double, garbled double, is_prose boolean"
 )
 
 
@@ -42,6 +47,38 @@ def _top_run(words: list[str], n: int, chars: int) -> float:
     return min(1.0, times * sum(map(len, run)) / chars) if times > 1 else 0.0
 
 
+def _copied(parts: list[str]) -> float:
+    """Share of the words that stand in a part of LINE_WORDS words or more that stood before."""
+    seen: set[str] = set()
+    copied = total = 0
+    for part in parts:
+        n = len(part.split())
+        total += n
+        if n >= LINE_WORDS:
+            if part in seen:
+                copied += n
+            seen.add(part)
+    return copied / total if total else 0.0
+
+
+def _rerun(words: list[str]) -> float:
+    """Share of the words in runs of RUN_WORDS words that stood before, wherever lines break."""
+    n = len(words)
+    short = max(0, n - 3)
+    # most starts of fours repeat where most words do, so other texts needn't be looked at in long runs
+    if n <= RUN_WORDS or len(set(zip(*(words[i:] for i in range(4)), strict=False))) > 0.7 * short:
+        return 0.0
+    seen: set[int] = set()
+    covered = end = 0
+    for i in range(n - RUN_WORDS + 1):
+        run = hash(tuple(words[i : i + RUN_WORDS]))
+        if run in seen:
+            covered += i + RUN_WORDS - max(end, i)
+            end = i + RUN_WORDS
+        seen.add(run)
+    return covered / n
+
+
 class Measure:
     """Statistics of one text."""
 
@@ -75,11 +112,15 @@ class Measure:
         level = n / len(set(tokens)) if n else 0.0
         ended = sum(bool(self.ended.search(x)) for x in lines) / len(lines) if lines else 0.0
         garbled = sum(bool(self.wrong.search(x)) for x in text.split()) / max(1, len(text.split()))
+        pair, four = _top_run(words, 2, dense), _top_run(words, 4, dense)
+        repeated = max(_copied(lines), _copied(paragraphs), _rerun(words))
         is_prose = (
             prose >= MIN_PROSE
             and prose_chars >= MIN_PROSE_CHARS
             and (prose >= MIN_PROSE_UNENDED or bool(self.sentence.search(text)))
-            and level <= max(MAX_LEVEL, n / MIN_TYPES)
+            and level <= MAX_LEVEL * max(1.0, n / (MAX_LEVEL * MIN_TYPES)) ** 0.5
+            and repeated <= MAX_REPEATED
+            and max(pair, four) <= MAX_TOP_RUN
             and garbled < MAX_GARBLED
         )
         return (
@@ -93,8 +134,9 @@ class Measure:
             sum(w in self.common for w in words) / len(words) if words else 0.0,
             _share_repeated(lines),
             _share_repeated(paragraphs),
-            _top_run(words, 2, dense),
-            _top_run(words, 4, dense),
+            pair,
+            four,
+            repeated,
             level,
             prose,
             prose_chars,

@@ -157,3 +157,19 @@ def test_site_caps(spark):
     sizes = spark.createDataFrame([*even, ("de", "big", 3000), ("de", "next", 200), ("fr", "a", 7), ("fr", "b", 1)], "lang string, site string, texts long")
     caps = prose.site_caps(sizes)
     assert caps["de"] == pytest.approx(prose.MAX_SITE * (1000 + 2 * caps["de"])) and caps["fr"] == 8
+
+
+def test_repetition_is_not_prose():
+    weights = dict.fromkeys("abcdefghijklmnopqrstuvwxyz", 1.0) | {f"{a}{b}": 1.0 for a in "abcdefgh" for b in "nopqrstu"}
+    known = sorted(w for w in weights if len(w) == 2)
+    one = quality.Measure(set(), weights)
+    is_prose = lambda text: one(text)[-1]
+    paragraph = " ".join(known[:45]) + "."
+    assert is_prose(paragraph) and is_prose(" ".join(known) + ".")
+    assert not is_prose("\n\n".join([paragraph] * 1000)) and not is_prose(" ".join([paragraph] * 3))
+    assert not is_prose(" ".join([" ".join(known[:12]) + "."] * 7))
+    rng = random.Random(2)
+    lines = [" ".join(rng.sample(known, 9)) + "." for _ in range(10)]
+    assert not is_prose("\n".join(rng.choice(lines) for _ in range(60)))  # in any order
+    assert not is_prose(". ".join(" ".join(rng.sample(known[:45], 45)) for _ in range(60)) + ".")  # few words, shuffled
+    assert is_prose("\n".join(lines)) and is_prose("\n".join([*lines, lines[0]]))
