@@ -76,7 +76,7 @@ def _judge(table: pa.Table) -> pa.Table:
     near: list[int] = []
     score: dict[str, Counter] = {}
     for page in own:
-        others = [r for d in range(-NEIGHBOURS, NEIGHBOURS + 1) if d and (r := refs.get(page["rank"] + d)) and r["host"] == page["host"]]
+        others = [r for d in range(-NEIGHBOURS, NEIGHBOURS + 1) if d and (r := refs.get(page["rank"] + d)) and r["host"] == page["host"] and r["keys"] != page["keys"]]
         times = [0] * len(page["keys"])
         for other in others:
             for at, _ in common_subsequence(page["keys"], other["keys"]):
@@ -120,12 +120,18 @@ def judged_blocks(pages: DataFrame) -> DataFrame:
 
     Groups are bounded: GROUP_URLS urls by rank and at most about PART_PAGES of their fetches, and
     one reference page (the latest fetch) of each url in reach. So neither a large host nor a url
-    fetched over and over meets in one task.
+    fetched over and over meets in one task. Urls of a host whose latest pages have the same blocks
+    share a rank: copies are judged by the same neighbours, never by each other.
     """
-    urls = pages.groupBy("host", "path").agg(F.max("fetch_id").alias("ref_id"), F.count("*").alias("n"))
-    ranked = dense_ids(urls, ["host", "path"], "rank").withColumn("group", F.floor(F.col("rank") / GROUP_URLS).cast("long"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    latest = pages.groupBy("host", "path").agg(F.max(F.struct("fetch_id", F.xxhash64("keys").alias("look"))).alias("latest"), F.count("*").alias("n"))
+    urls = latest.select("host", "path", F.col("latest.fetch_id").alias("ref_id"), F.col("latest.look").alias("look"), "n")
+    looks = urls.groupBy("host", "look").agg(F.min(F.struct("path", "ref_id")).alias("first"), F.sum("n").alias("n"))
+    firsts = looks.select("host", "look", F.col("first.path").alias("first_path"), F.col("first.ref_id").alias("ref_id"), "n")
+    ranked = dense_ids(firsts, ["host", "first_path"], "rank").withColumn("group", F.floor(F.col("rank") / GROUP_URLS).cast("long"))
     groups = ranked.groupBy("group").agg(F.ceil(F.sum("n") / PART_PAGES).cast("int").alias("parts"))
-    placed = ranked.join(groups, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = urls.select("host", "path", "look", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("s"))
+    placed = copies.join(ranked.drop("first_path", "n").withColumn("s", salts), ["host", "look", "s"]).drop("look", "s").join(groups, "group").withColumn("salt", salts)
     narrow = pages.select("fetch_id", page_id().alias("page"), "host", "path", "keys", "tags", "places", "free")
     salted = narrow.withColumn("salt", F.pmod(F.xxhash64("fetch_id"), F.lit(SALTS)).cast("int"))
     rows = salted.join(placed, ["host", "path", "salt"])

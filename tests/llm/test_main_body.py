@@ -86,3 +86,16 @@ def test_common_subsequence():
     assert common_subsequence(list("abcbdab"), list("bdcaba")) and len(common_subsequence(list("abcbdab"), list("bdcaba"))) == 4
     assert common_subsequence([], [1]) == [] and common_subsequence([1, 2], [3]) == []
     assert common_subsequence([1, 1, 2], [1, 2]) in ([(0, 0), (2, 1)], [(1, 0), (2, 1)])
+
+
+def test_copies_under_neighbouring_urls(spark):
+    rng, rows, truth = random.Random(6), [], {}
+    for i in range(12):
+        html, blocks = page(rng, "copies.example", i)
+        for j in range(9 if i == 5 else 1):
+            truth[len(rows)] = blocks
+            rows.append((len(rows), f"http://copies.example/d/{i:02}{f'?print={j}' if j else ''}", True, html, ""))
+    got = {}
+    for r in main_body.found_blocks(spark.createDataFrame(rows, FETCH)).collect():
+        got.setdefault(r.fetch_id, set()).add(r.block)
+    assert all(got[k] == truth[5] for k in range(5, 14))
