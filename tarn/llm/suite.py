@@ -35,7 +35,7 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.repeated_blocks(table(spark, d, "docs"))
+    return site_lines.repeated_blocks(site_lines.line_ids(table(spark, d, "docs")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
