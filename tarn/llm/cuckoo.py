@@ -148,6 +148,25 @@ class GrowingCuckoo:
     def bytes(self) -> int:
         return sum(t.table.nbytes for t in self.tables)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All of it as named arrays, to be stored."""
+        out = {}
+        for i, t in enumerate(self.tables):
+            out |= {f"table{i}": t.table, f"count{i}": np.array(t.count), f"homeless{i}": np.array(t.homeless, dtype=np.int64).reshape(-1, 2)}
+        return out
+
+    @staticmethod
+    def of(arrays: dict[str, np.ndarray]) -> GrowingCuckoo:
+        own = GrowingCuckoo(1)
+        own.tables = []
+        while f"table{len(own.tables)}" in arrays:
+            i = len(own.tables)
+            t = CuckooTable(len(arrays[f"table{i}"]))
+            t.table, t.count = arrays[f"table{i}"].copy(), int(arrays[f"count{i}"])
+            t.homeless = [(int(a), int(b)) for a, b in arrays[f"homeless{i}"]]
+            own.tables.append(t)
+        return own
+
 
 def seen_before(table: GrowingCuckoo, hashes: np.ndarray) -> np.ndarray:
     """For keys in order of arrival: was the key (or one with its fingerprint and bucket) there before?

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.llm import bpe, languages, main_body, mixing, quality, seen, site_lines, stuffing, term_counts
 from tarn.plans.session import table
@@ -26,6 +27,10 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_report(table(spark, d, "frontier"))
 
 
+def p2_totals(spark: SparkSession, d: str) -> DataFrame:
+    return seen.error_report(table(spark, d, "frontier")).select("n_rows", "n_new", "n_seen", "n_missed", (F.col("wrong_rate") < 0.01).alias("few_wrong"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.found_lines(table(spark, d, "docs"))
 
@@ -89,7 +94,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        *(p1_found, p1_counts, p2_found, p2_report, p3_found, p3_cleaned, p3_blocks, p4_found, p4_curves),
+        *(p1_found, p1_counts, p2_found, p2_report, p2_totals, p3_found, p3_cleaned, p3_blocks, p4_found, p4_curves),
         *(p5_found, p5_texts, p6_found, p6_languages, p7_ids, p8_found, p8_mixed, p8_shares, p9_found, p9_statistics),
     )
     return {f.__name__: f for f in own}
@@ -117,6 +122,9 @@ SELECT term, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN recor
         "p1_found": f"SELECT term, mark FROM ({marked}) WHERE mark IS NOT NULL",
         "p2_found": """SELECT DISTINCT f.seq FROM frontier f
 JOIN (SELECT url, min(seq) AS s FROM frontier WHERE url IS NOT NULL GROUP BY url) m ON f.url = m.url AND f.seq > m.s""",
+        "p2_totals": """WITH r AS (SELECT seq, bool_or(s > 1) AS seen FROM
+  (SELECT seq, dense_rank() OVER (PARTITION BY url ORDER BY seq) AS s FROM frontier WHERE url IS NOT NULL AND seq IS NOT NULL) GROUP BY seq)
+SELECT count(*) AS n_rows, count(*) FILTER (NOT seen) AS n_new, count(*) FILTER (seen) AS n_seen, CAST(0 AS BIGINT) AS n_missed, true AS few_wrong FROM r""",
         "p3_cleaned": f"""WITH d0 AS (SELECT DISTINCT seq, doc_id, url, content FROM docs), {_LINES},
 r AS (SELECT DISTINCT seq, url, line_no FROM l JOIN k USING (site, k)),
 x AS (SELECT seq, doc_id, url, content, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM d0),
