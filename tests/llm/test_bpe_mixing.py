@@ -1,5 +1,7 @@
 import base64
 import math
+import random
+import time
 from pathlib import Path
 
 import pytest
@@ -32,7 +34,22 @@ def test_ids(spark, reference):
 
 def test_round_trip(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
-    assert all(bpe.decode(r.ids) == (TEXTS[r.doc_id] or "") for r in bpe.token_ids(df).collect())
+    back = bpe.texts_of(bpe.token_ids(df)).collect()
+    assert len(back) == len(TEXTS) and all(r.text == (TEXTS[r.doc_id] or "") for r in back)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [10**6])], "doc_id long, ids array<int>")
+    assert [r.text for r in bpe.texts_of(odd).collect()] == ["", "", ""]
+
+
+def test_long_words(reference):
+    rng = random.Random(3)
+    encoder = bpe.WordEncoder(VOCABULARY)
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 1 << 20), ("etaoinshr", 6000), ("x", 1 << 20), ("ab", 20_000)):
+        word = "".join(rng.choice(letters) for _ in range(n))
+        began = time.time()
+        (ids,) = encoder.learn({word}).values()
+        assert time.time() - began < 60
+        assert n > 100_000 or ids.tolist() == reference(word)
+        assert bpe.Decoder(VOCABULARY)([ids.tolist()]) == [word]
 
 
 @settings(max_examples=40, deadline=None)
@@ -42,10 +59,11 @@ def test_any_text(texts):
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.encode("utf-8", "replace").decode() for t in texts])], names=["id", "text"])
     ids = [x for b in bpe.encode_batches(iter([batch]), VOCABULARY) for x in b.column(1).to_pylist()]
-    assert [bpe.decode(i) for i in ids] == batch.column(1).to_pylist()
+    assert DECODER(ids) == batch.column(1).to_pylist()
 
 
 VOCABULARY = bpe.read_vocabulary()
+DECODER = bpe.Decoder(VOCABULARY)
 
 
 def test_other_vocabulary(spark):
