@@ -2,7 +2,7 @@
 
 Rank-order profiles: the most frequent character n-grams of a language, by rank. A text's own
 ranking is compared by out-of-place distance: the sum of rank differences, grams that a profile
-lacks counting as the profile's length.
+lacks counting as the profile's length. The languages are those that the delivered labels name.
 """
 
 from __future__ import annotations
@@ -16,16 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.labels import named_language
+from tarn.llm.labels import languages_of, named_language
 from tarn.plans.session import spread
 
 MAX_GRAM = 4
 PROFILE = 2000  # grams of a profile
 MAX_SAMPLE = 20_000  # labelled rows the profiles are fitted on, at most (in expectation)
+MIN_AGREED = 0.5  # share of a label's sampled texts that its first profile finds again, else it names no language
 MIN_WORDS = 4  # of a line of running text
-CLEAR = 0.6  # share of the running text from which its language isn't in doubt
+OTHER_LINES = 0.5  # weight of a character outside running lines (headings, menus), of 1 within
 MIN_MARGIN = 0.15  # by which a line must be nearer to another language than to its text's
 REMEMBERED = 1 << 17  # words and lines a task remembers
+CHUNK_GRAMS = 1 << 20  # grams ranked at a time
+_JUDGED = "line_no int, lang string, confidence double, running boolean"
 
 
 def _tie(gram: str) -> int:
@@ -40,7 +43,7 @@ def word_grams(word: str) -> list[str]:
 
 
 class Profiles:
-    """Out-of-place distances to fixed profiles; remembers the grams of words."""
+    """Out-of-place distances to fixed profiles; remembers the grams of words and what lines are."""
 
     def __init__(self, ranks: dict[str, dict[str, int]]) -> None:
         import html
@@ -53,18 +56,20 @@ class Profiles:
         self.end = regex.compile(rf"[\p{{L}}\p{{N}}]{closing}[.!?…。！？]+{closing}(?:\s|$)")
         self.langs = sorted(ranks)
         known = sorted({g for r in ranks.values() for g in r})
-        self.table = np.full((len(known), len(self.langs)), -1, dtype=np.int32)
+        self.table = np.full((len(known) + 1, len(self.langs)), PROFILE, dtype=np.int32)  # the last row is of unknown grams
         self.base = {g: i for i, g in enumerate(known)}
+        self.listed = np.zeros((len(known) + 1, len(self.langs)), dtype=bool)
         for j, lang in enumerate(self.langs):
             for g, rank in ranks[lang].items():
                 self.table[self.base[g], j] = rank
+                self.listed[self.base[g], j] = True
         self.base_ties = np.array([_tie(g) for g in known], dtype=np.int64)
         self._forget()
 
     def _forget(self) -> None:
         self.ids, self.ties = dict(self.base), self.base_ties
         self.words: dict[str, np.ndarray] = {}
-        self.lines: dict[str, tuple] = {}
+        self.lines: dict[str, tuple | None] = {}
 
     def _word(self, word: str) -> np.ndarray:
         got = self.words.get(word)
@@ -81,82 +86,115 @@ class Profiles:
             got = self.words[word] = np.array(own, dtype=np.int64)
         return got
 
-    def distances(self, words: list[str]) -> np.ndarray:
-        """Distance to each language, 0 to 1."""
+    def distances(self, texts: list[list[str]]) -> np.ndarray:
+        """Distance of each list of words to each language, 0 to 1: a row per list, none of them empty."""
+        grams = [np.concatenate([self._word(w) for w in words]) for words in texts]
+        out, held, size = [], [], 0
+        for own in [*grams, None]:
+            if held and (own is None or size + len(own) > CHUNK_GRAMS):
+                out.append(self._ranked(held))
+                held, size = [], 0
+            if own is not None:
+                held.append(own)
+                size += len(own)
+        return np.concatenate(out) if out else np.zeros((0, len(self.langs)))
+
+    def _ranked(self, grams: list[np.ndarray]) -> np.ndarray:
+        """The same for gram ids, all texts in two sorts: by gram to count, by count to rank."""
+        n = len(self.ids)
+        keys = np.sort(np.concatenate([ids + at * n for at, ids in enumerate(grams)]))
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        counts = np.diff(np.r_[starts, len(keys)])
+        text, gram = np.divmod(keys[starts], n)
+        order = np.lexsort((self.ties[gram], -counts, text))
+        text, gram = text[order], gram[order]
+        first = np.searchsorted(text, np.arange(len(grams)))
+        rank = np.arange(len(text)) - first[text]
+        best = rank < PROFILE
+        text, gram, rank = text[best], np.minimum(gram[best], len(self.table) - 1), rank[best]
+        apart = np.where(self.listed[gram], np.abs(rank[:, None] - self.table[gram]), PROFILE)
+        first = np.searchsorted(text, np.arange(len(grams)))
+        return np.add.reduceat(apart, first, axis=0) / (PROFILE * np.diff(np.r_[first, len(text)])[:, None])
+
+    def wholes(self, texts: list[str]) -> list[str | None]:
+        """The nearest language of each text as a whole; None for one of under MIN_WORDS words."""
+        words = [self.word.findall(self.unescape(t).lower()) for t in texts]
+        long = [i for i, w in enumerate(words) if len(w) >= MIN_WORDS]
+        out: list[str | None] = [None] * len(texts)
+        for i, d in zip(long, self.distances([words[i] for i in long]), strict=True):
+            out[i] = self.langs[int(d.argmin())]
         if len(self.words) > REMEMBERED:
             self._forget()
-        ids, counts = np.unique(np.concatenate([self._word(w) for w in words]), return_counts=True)
-        order = np.lexsort((self.ties[ids], -counts))[:PROFILE]
-        ids = ids[order]
-        inside = ids < len(self.table)
-        out = np.full((len(ids), len(self.langs)), PROFILE, dtype=np.int64)
-        ranks = self.table[ids[inside]]
-        out[inside] = np.where(ranks < 0, PROFILE, np.abs(np.arange(len(ids))[inside, None] - ranks))
-        return out.sum(axis=0) / (PROFILE * len(ids))
-
-    def running(self, line: str) -> tuple[int, np.ndarray] | None:
-        """(characters, distances) of a line that holds a sentence's end and some words, else None."""
-        text = " ".join(self.unescape(line).split())
-        if text not in self.lines:
-            if len(self.lines) > REMEMBERED:
-                self.lines = {}
-            words = self.word.findall(text.lower())
-            sentence = len(words) >= MIN_WORDS and self.end.search(text)
-            self.lines[text] = (len(text), self.distances(words)) if sentence else None
-        return self.lines[text]
-
-    def whole(self, text: str) -> str | None:
-        words = self.word.findall(self.unescape(text).lower())
-        return self.langs[int(self.distances(words).argmin())] if len(words) >= MIN_WORDS else None
-
-    def judge(self, text: str) -> list[tuple[int, str, float]]:
-        """(line_no, language, confidence): line 0 for the text, then its lines in other languages.
-
-        The language of a text is the one with most characters of running lines; where that is close,
-        headings and other lines count too. Confidence is, for
-        a text, the share of its running characters in that language; for a line, how much nearer it
-        is than the text's language, relative to that.
+        return out
+
+    def _learn(self, lines: set[str]) -> None:
+        """What each line is: (characters, running, distances), or None without a word. Running
+        lines hold a sentence's end and some words."""
+        names, words = [], []
+        for line in lines:
+            text = " ".join(self.unescape(line).split())
+            own = self.word.findall(text.lower())
+            self.lines[line] = None
+            if own:
+                names.append((line, len(text), bool(len(own) >= MIN_WORDS and self.end.search(text))))
+                words.append(own)
+        for (line, chars, running), d in zip(names, self.distances(words), strict=True):
+            self.lines[line] = (chars, running, d)
+
+    def judge(self, texts: list[str]) -> list[list[tuple[int, str | None, float, bool]]]:
+        """For each text (line_no, language, confidence, running): line 0 for the text, then its
+        running lines in other languages.
+
+        The language of a text is the one with most characters of running lines, headings and other
+        lines counting OTHER_LINES of theirs. running says whether it has running lines. Confidence
+        is, for a text, the share of its running characters (of all, where none are) in that
+        language; for a line, how much nearer it is than the text's language, relative to that. A
+        text without a letter has no language and confidence 0.
         """
-        if not self.langs:
-            return []
-        lines = [(i, got) for i, line in enumerate(text.split("\n"), 1) if (got := self.running(line))]
+        if len(self.words) > REMEMBERED or len(self.lines) > REMEMBERED:
+            self._forget()
+        split = [t.split("\n") for t in texts]
+        if self.langs:
+            self._learn({line for lines in split for line in lines} - self.lines.keys())
+        return [self._judge([(i, got) for i, line in enumerate(lines, 1) if (got := self.lines.get(line))]) for lines in split]
+
+    def _judge(self, lines: list[tuple[int, tuple]]) -> list[tuple[int, str | None, float, bool]]:
         if not lines:
-            return []
-        share = np.zeros(len(self.langs))
-        for _, (chars, d) in lines:
-            share[int(d.argmin())] += chars
-        main = int(share.argmax())
-        if share[main] < CLEAR * share.sum():
-            rest = share.copy()
-            running = {i for i, _ in lines}
-            for i, line in enumerate(text.split("\n"), 1):
-                words = self.word.findall(self.unescape(line).lower()) if i not in running else []
-                if len(words) > 1:
-                    rest[int(self.distances(words).argmin())] += len(line)
-            main = int(rest.argmax())
-        out = [(0, self.langs[main], float(share[main] / share.sum()))]
-        for i, (_, d) in lines:
+            return [(0, None, 0.0, False)]
+        share, rest = np.zeros(len(self.langs)), np.zeros(len(self.langs))
+        for _, (chars, running, d) in lines:
+            (share if running else rest)[int(d.argmin())] += chars
+        main = int((share + OTHER_LINES * rest).argmax())
+        counted = share if share.any() else rest
+        out: list = [(0, self.langs[main], float(counted[main] / counted.sum()), bool(share.any()))]
+        for i, (_, running, d) in lines:
             best = int(d.argmin())
-            margin = float((d[main] - d[best]) / d[main]) if d[main] else 0.0
+            margin = float((d[main] - d[best]) / d[main]) if running and d[main] else 0.0
             if best != main and margin >= MIN_MARGIN:
-                out.append((i, self.langs[best], margin))
+                out.append((i, self.langs[best], margin, True))
         return out
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch], ranks: dict[str, dict[str, int]] | None) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, gram, n); with ranks given, only texts that they give their label."""
+    """(lang, text) to (lang, gram, n), the empty gram counting texts; with ranks given, only texts
+    that they give their label."""
     import regex
 
     word = regex.compile(r"\p{L}+")
     judge = Profiles(ranks) if ranks else None
     counts: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if judge is None or judge.whole(text) == lang:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lang, text, found in zip(langs, texts, judge.wholes(texts) if judge else langs, strict=True):
+            if found == lang:
                 counts[lang].update(word.findall(text.lower()))
+                counts[lang][""] += 1
     for lang, words in counts.items():
         grams: Counter = Counter()
         for w, n in words.items():
+            if not w:
+                grams[w] = n
+                continue
             for g in word_grams(w):
                 grams[g] += n
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
@@ -165,52 +203,63 @@ def _count_grams(batches: Iterator[pa.RecordBatch], ranks: dict[str, dict[str, i
 def fit_profiles(docs: DataFrame, text: str = "content", label: str = "lang", max_rows: int = MAX_SAMPLE) -> dict[str, dict[str, int]]:
     """Profiles from labelled rows, at most `max_rows` in expectation, chosen by a hash of the text.
 
-    A second pass leaves out texts that the first profiles don't give their label. At most
-    PROFILE * 7 rows reach the driver.
+    A second pass leaves out texts that the first profiles don't give their label, and labels most
+    of whose texts are such: they name no language. At most PROFILE rows a language reach the
+    driver, and there are at most 1 / labels.MIN_SHARE languages.
     """
-    labelled = docs.select(named_language(label).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    langs = languages_of(docs, label)
+    labelled = docs.select(named_language(label).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isin(langs) & (F.length("text") > 0))
     n = labelled.count()
     if n > max_rows:
         labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     ranks: dict[str, dict[str, int]] | None = None
+    texts: dict[str, int] = {}
     for _ in range(2):
         counted = spread(labelled).mapInArrow(lambda batches, given=ranks: _count_grams(batches, given), "lang string, gram string, n long")
         total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         tie = F.crc32(F.encode("gram", "UTF-8"))
-        top = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), tie)) - 1).where(F.col("rank") < PROFILE)
-        ranks = {}
-        for r in top.select("lang", "gram", "rank").collect():
-            ranks.setdefault(r["lang"], {})[r["gram"]] = r["rank"]
+        order = Window.partitionBy("lang").orderBy(F.col("gram") != "", F.desc("n"), tie)
+        top = total.withColumn("rank", F.row_number().over(order) - 2).where(F.col("rank") < PROFILE)
+        before, ranks, texts = texts, {}, {}
+        for r in top.select("lang", "gram", "rank", "n").collect():
+            if r["rank"] < 0:
+                texts[r["lang"]] = r["n"]
+            else:
+                ranks.setdefault(r["lang"], {})[r["gram"]] = r["rank"]
+        ranks = {lang: own for lang, own in ranks.items() if texts[lang] >= MIN_AGREED * before.get(lang, 0)}
         if not ranks:
             return {}
     return ranks
 
 
 def judged_lines(docs: DataFrame, key: str = "seq", text: str = "content", label: str = "lang") -> DataFrame:
-    """key, label, line_no, lang, confidence: line 0 for every row with running text, and each line
-    in another language than most of it. Null, empty and sentence-less texts give no row."""
+    """key, label, line_no, lang, confidence, running: line 0 for every row, and each line of running
+    text in another language than most of it.
+
+    running is false in line 0 of a text without running sentences; its language comes from its
+    other lines. Null, empty and letterless texts have a null language and confidence 0.
+    """
     ranks = fit_profiles(docs, text, label)
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(ranks)
-        for batch in batches:
-            rows = [(i, *found) for i, t in enumerate(batch.column(2).to_pylist()) if t for found in profiles.judge(t)]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.float64())],
-                names=["key", "label", "line_no", "lang", "confidence"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                judged = profiles.judge([t or "" for t in batch.column(2).to_pylist()])
+                rows = [(i, *found) for i, own in enumerate(judged) for found in own]
+                at = pa.array([r[0] for r in rows], pa.int64())
+                columns = [pa.array([r[j] for r in rows], t) for j, t in ((1, pa.int32()), (2, pa.string()), (3, pa.float64()), (4, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["key", "label", "line_no", "lang", "confidence", "running"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(text).alias("text"))
-    return spread(rows).mapInArrow(judge, f"key {kind}, label string, line_no int, lang string, confidence double").withColumnRenamed("key", key)
+    return spread(rows).mapInArrow(judge, f"key {kind}, label string, {_JUDGED}").withColumnRenamed("key", key)
 
 
 def found_languages(docs: DataFrame, stuffed: DataFrame) -> DataFrame:
     """seq, line_no, lang: rows whose label names no language or another one (line 0), and lines in
-    another language; the rows of `stuffed` (seq) hold no running text and are left out."""
-    lines = judged_lines(docs).join(stuffed.select("seq").distinct(), "seq", "left_anti")
+    another language; texts without running sentences and the rows of `stuffed` (seq) are left out."""
+    lines = judged_lines(docs).where("running").join(stuffed.select("seq").distinct(), "seq", "left_anti")
     wrong = ~named_language("label").eqNullSafe(F.col("lang"))
     return lines.where((F.col("line_no") > 0) | wrong).select("seq", "line_no", "lang").distinct()
-
-

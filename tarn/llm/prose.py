@@ -1,8 +1,8 @@
 """What running text looks like: the words that much of a language's documents share.
 
-The weight of a word is the share of a language's documents that it stands in, over the mean such
-share of that language's running words; words of several languages take the largest. Running text
-has a mean weight about 1, whatever the language; lists, labels, links and codes are far below.
+The weight of a word in a language is the share of the language's documents that it stands in, over
+the mean such share of that language's running words. Running text has a mean weight about 1 in its
+own language; lists, labels, links and codes are far below in every one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.hosts import site
-from tarn.llm.labels import named_language
+from tarn.llm.labels import languages_of, named_language
 from tarn.plans.session import cut
 
 WORD = r"[\p{L}\p{N}]+"
@@ -19,6 +19,7 @@ LETTERS = r"^\p{L}+$"
 MIN_SHARE = 0.02  # of a language's documents; so a language has at most 50 times its mean number of words a document
 MAX_SITE = 0.05  # of a language's documents that one site counts for, at most
 MIN_WORDS = 20  # documents with fewer words teach nothing
+Weights = dict[str, dict[str, float]]  # by language, then word
 
 
 def words(text: Column | str) -> Column:
@@ -27,24 +28,46 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
 
 
-def word_weights(texts: DataFrame, text: str, label: str, url: str = "url") -> dict[str, float]:
+def distinct_texts(rows: DataFrame, text: str, label: str, url: str = "url") -> DataFrame:
+    """version (hash of the text), text, lang, site: each text once, however often it is delivered.
+
+    lang is the language of its labels (null where none names one) and site that of its urls, the
+    least pair where there are several; '' where no site is known or there is no column `url`.
+    """
+    host = F.coalesce(site(url), F.lit("")) if url in rows.columns else F.lit("")
+    known = rows.select(F.xxhash64(text).alias("version"), F.col(text).alias("text"), named_language(label).alias("lang"), host.alias("site")).where("text is not null")
+    said = F.min(F.when(F.col("lang").isNotNull(), F.struct("site", "lang"))).alias("said")
+    once = known.groupBy("version").agg(F.first("text").alias("text"), said, F.min("site").alias("site"))
+    return once.select("version", "text", F.col("said.lang").alias("lang"), F.coalesce("said.site", "site").alias("site"))
+
+
+def word_weights(texts: DataFrame, text: str, label: str, url: str = "url") -> Weights:
     """Weights learned from all rows whose label names a language.
 
-    A text counts once a language, however often it is delivered, and a site's texts count less
-    where it has more than its cap (site_caps), so that neither copies nor one site's pages make
-    their words look like running ones. Texts of unknown site count as one site's; without a column
-    `url` every text counts alike.
+    A text counts once, and a site's texts count less where it has more than its cap (site_caps), so
+    that neither copies nor one site's pages make their words look like running ones. Texts of
+    unknown site count as one site's.
 
     The result is bounded: words in at least MIN_SHARE of a language's documents. Wrong labels are
     a minority in any language and change the shares little.
     """
-    host = F.coalesce(site(url), F.lit("")) if url in texts.columns else F.lit("")
-    rows = texts.select(named_language(label).alias("lang"), F.xxhash64(text).alias("version"), host.alias("site"), F.col(text).alias("text")).where("lang is not null")
-    pages = rows.groupBy("lang", "version").agg(F.min("site").alias("site"), F.first("text").alias("text"))
+    own = distinct_texts(texts, text, label, url).withColumn("words", words("text"))
+    return weights_of(own.select("lang", "site", "words"), languages_of(texts, label))
+
+
+def weights_of(texts: DataFrame, langs: list[str]) -> Weights:
+    """word_weights() from lang, site, words (an array) of each text.
+
+    One pass counts documents and occurrences of each word; both are summed map-side by language,
+    site and word.
+    """
+    taught = texts.where(F.col("lang").isin(langs) & (F.size("words") >= MIN_WORDS))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    met = F.transform("words", lambda w: F.struct(w.alias("word"), none.alias("docs"), one.alias("n")))
     # each text has the empty word once besides its own, which counts the texts
-    spoken = pages.withColumn("words", words("text")).where(F.size("words") >= MIN_WORDS).select("lang", "version", "site", F.explode(F.array_append("words", "")).alias("word"))
-    counts = spoken.groupBy("lang", "version", "site", "word").agg(F.count("*").alias("n"))
-    per_site = cut(counts.groupBy("lang", "site", "word").agg(F.count("*").alias("docs"), F.sum("n").alias("n")))
+    stood = F.transform(F.array_append(F.array_distinct("words"), ""), lambda w: F.struct(w.alias("word"), one.alias("docs"), none.alias("n")))
+    each = taught.select("lang", "site", F.explode(F.concat(met, stood)).alias("w"))
+    per_site = cut(each.groupBy("lang", "site", "w.word").agg(F.sum("w.docs").alias("docs"), F.sum("w.n").alias("n")))
     sizes = per_site.where("word = ''").select("lang", "site", F.col("docs").alias("texts"))
     caps = site_caps(sizes)
     if not caps:
@@ -54,6 +77,15 @@ def word_weights(texts: DataFrame, text: str, label: str, url: str = "url") -> d
     return _normalised(per_site.join(factors, ["lang", "site"]))
 
 
+def largest(weights: Weights) -> dict[str, float]:
+    """The largest weight of each word, for texts that may mix languages."""
+    out: dict[str, float] = {}
+    for own in weights.values():
+        for word, weight in own.items():
+            out[word] = max(weight, out.get(word, 0.0))
+    return out
+
+
 def site_caps(sizes: DataFrame) -> dict[str, float]:
     """For each language the number of texts that a site counts for at most: MAX_SITE of all that
     count, or twice an even share where sites are few.
@@ -88,8 +120,8 @@ def _normalised(used: DataFrame) -> dict[str, float]:
     running = used.where("word <> ''").select("lang", "word", (F.col("n") * F.col("factor")).alias("n"))
     sums = running.join(F.broadcast(known), ["lang", "word"], "left").groupBy("lang").agg((F.sum(F.coalesce("share", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("mean")).collect()
     mean = {r["lang"]: r["mean"] for r in sums}
-    weights: dict[str, float] = {}
+    weights: Weights = {}
     for r in shares:
         if mean.get(r.lang):
-            weights[r.word] = max(weights.get(r.word, 0.0), r.share / mean[r.lang])
+            weights.setdefault(r.lang, {})[r.word] = r.share / mean[r.lang]
     return weights

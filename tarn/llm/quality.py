@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.prose import word_weights
+from tarn.llm.prose import largest, word_weights
 from tarn.plans.session import spread
 
 MIN_PROSE = 0.62  # mean word weight of running text
@@ -40,11 +40,16 @@ def _share_repeated(parts: list[str]) -> float:
 
 
 def _top_run(words: list[str], n: int, chars: int) -> float:
-    """Share of the text's characters in the most frequent run of n words, where it occurs twice."""
+    """Share of the text's characters in the most frequent run of n words (the longest of several),
+    where it occurs twice."""
     if len(words) < 2 * n or not chars:
         return 0.0
-    run, times = Counter(zip(*(words[i:] for i in range(n)), strict=False)).most_common(1)[0]
-    return min(1.0, times * sum(map(len, run)) / chars) if times > 1 else 0.0
+    counts = Counter(zip(*(words[i:] for i in range(n)), strict=False))
+    times = max(counts.values())
+    if times == 1:
+        return 0.0
+    longest = max(sum(map(len, run)) for run, seen in counts.items() if seen == times)
+    return min(1.0, times * longest / chars)
 
 
 def _copied(parts: list[str]) -> float:
@@ -98,9 +103,10 @@ class Measure:
 
     def __call__(self, text: str) -> tuple:
         n_chars = len(text)
-        dense = sum(map(len, text.split()))
-        tokens = self.word.findall(text.lower())
-        words = self.inner.findall(text.lower())
+        chunks, low = text.split(), text.lower()
+        dense = sum(map(len, chunks))
+        tokens = self.word.findall(low)
+        words = self.inner.findall(low)
         lines = [" ".join(x.split()) for x in text.split("\n")]
         lines = [x for x in lines if x]
         paragraphs = [" ".join(x.split()) for x in text.split("\n\n")]
@@ -111,7 +117,7 @@ class Measure:
         prose_chars = sum(x * len(w) for x, w in zip(weigh, tokens, strict=True)) / dense if dense else 0.0
         level = n / len(set(tokens)) if n else 0.0
         ended = sum(bool(self.ended.search(x)) for x in lines) / len(lines) if lines else 0.0
-        garbled = sum(bool(self.wrong.search(x)) for x in text.split()) / max(1, len(text.split()))
+        garbled = sum(bool(self.wrong.search(x)) for x in chunks) / len(chunks) if self.wrong.search(text) else 0.0
         pair, four = _top_run(words, 2, dense), _top_run(words, 4, dense)
         repeated = max(_copied(lines), _copied(paragraphs), _rerun(words))
         is_prose = (
@@ -151,7 +157,7 @@ def statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id
     common_words is a fixed list; the weights are bounded (see prose). Both go to the tasks.
     """
     common = {r.word.lower() for r in common_words.select("word").distinct().collect() if r.word}
-    weights = word_weights(documents, text, label)
+    weights = largest(word_weights(documents, text, label))
     kind = documents.select(key).schema[0].dataType.simpleString()
     names = ["key", *(f.split()[0] for f in _FIELDS.split(", "))]
     types = [pa.float64() if f.endswith("double") else pa.bool_() if f.endswith("boolean") else pa.int64() for f in _FIELDS.split(", ")]

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.llm import languages, prose, quality, stuffing
-from tarn.llm.labels import named_language
+from tarn.llm.labels import languages_of, named_language
 from tarn.llm.languages import Profiles, fit_profiles, word_grams
 
 random.seed(8)
@@ -43,15 +44,41 @@ def docs(spark):
 
 
 def test_labels(spark):
-    given = ["en", "EN", "en_GB", "en-US", "eng", "English", " Deutsch ", "por", "xx", "und", "", None, "unknown", "русский"]
+    given = ["en", "EN", "en_GB", "en-US", "eng", "English", " Deutsch ", "por", "xx", "und", "", None, "unknown", "русский", "it", "N/A", "?"]
     df = spark.createDataFrame([(x,) for x in given], "l string")
-    assert [r[0] for r in df.select(named_language("l")).collect()] == ["en", "en", "en", "en", "en", "en", "de", "pt", None, None, None, None, None, "ru"]
+    assert [r[0] for r in df.select(named_language("l")).collect()] == ["en", "en", "en", "en", "en", "en", "de", "pt", None, None, None, None, None, "ru", "it", None, None]
+    assert languages_of(df, "l") == ["de", "en", "it", "pt", "ru"] and languages_of(df, "l", 0.2) == ["en"] and languages_of(df.where("false"), "l") == []
 
 
 def test_stuffed_pages(docs):
     assert {r.seq for r in stuffing.stuffed_pages(docs).collect()} == {200, 201, 202, 203} | {305}
     rows = {r.seq: r for r in stuffing.judged(docs).collect()}
     assert 300 not in rows and 301 not in rows and rows[200].level > 5 and rows[0].prose > 0.8
+    assert rows[40].spoken == "de" and rows[303].spoken == "fr" and rows[0].slope < 0
+
+
+def test_each_fact_flags(spark):
+    """Prose on a line by length; a text that departs from it in one fact alone."""
+    rng = random.Random(1)
+    names = "version long, lang string, length double, divergence double, level double, slope double, residual double"
+    prose_rows = [(i, "en" if i % 2 else "de", x, 0.1 + rng.gauss(0, 0.02), 0.3 * x, -0.1 * x, 0.2) for i in range(400) for x in [4 + i % 7 / 3]]
+    odd = [(1000, "en", 5.0, 1.3, 1.5, -0.5, 0.2), (1001, "en", 5.0, 0.1, 2.7, -0.5, 0.2), (1002, "de", 5.0, 0.1, 1.5, -1.7, 0.2), (1003, "xx", 5.0, 0.1, 1.5, -0.5, 1.4), (1004, None, 9.0, 0.1, 2.7, -0.9, 0.2), (1005, "en", 5.0, -1.0, 0.4, -0.5, 0.2)]
+    facts = spark.createDataFrame(prose_rows + odd, names)
+    usual = stuffing._usual(facts.where("version < 1000"))
+    assert {r.version for r in stuffing._departures(facts, usual, ()).where(F.col("departure") > stuffing.FLAGGED).collect()} == {1000}
+    assert {r.version for r in stuffing._departures(facts, usual).where(F.col("departure") > stuffing.FLAGGED).collect()} == {1000, 1001, 1002, 1003}
+
+
+def test_language_that_only_labels_know(spark):
+    """A language outside the alias table is learned from its labels."""
+    rng = random.Random(6)
+    syllables = ["zu", "ke", "wa", "nta", "mbi", "li", "ngo", "shi", "po", "ya"]
+    lexicon = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(30)]
+    rows = [(2000 + i, "swa", "\n".join(" ".join(rng.choice(lexicon) for _ in range(12)).capitalize() + "." for _ in range(8))) for i in range(40)]
+    df = spark.createDataFrame(corpus() + rows + [(3000, "en", rows[0][2])], "seq long, lang string, content string")
+    got = {(r.seq, r.line_no): r.lang for r in languages.judged_lines(df).collect()}
+    assert got[2000, 0] == got[3000, 0] == "swa" and got[0, 0] == "en"
+    assert {r.seq for r in stuffing.stuffed_pages(df).collect()} == set()
 
 
 def test_stuffing_of_nothing(spark):
@@ -65,12 +92,17 @@ def test_languages(docs):
     got = {(r.seq, r.line_no, r.lang) for r in languages.found_languages(docs, stuffing.stuffed_pages(docs)).collect()}
     assert got == {(302, 0, "de"), (303, 0, "fr"), (304, 9, "de")}
     rows = languages.judged_lines(docs).where("line_no = 0").collect()
-    assert all(0 < r.confidence <= 1 for r in rows) and not {300, 301, 305} & {r.seq for r in rows}
+    assert {r.seq for r in rows} == {r.seq for r in docs.collect()}
+    blank = {300, 301}
+    assert all(0 < r.confidence <= 1 and r.lang for r in rows if r.seq not in blank | {304})
+    assert all((r.lang, r.confidence, r.running) == (None, 0.0, False) for r in rows if r.seq in blank)
+    assert [r.running for r in rows if r.seq == 305] == [False]
 
 
 def test_held_out_accuracy(spark, docs):
     judge = Profiles(fit_profiles(docs))
-    right = [judge.whole(sentence(lang)) == lang for lang in PARTS for _ in range(60)]
+    asked = [(lang, sentence(lang)) for lang in PARTS for _ in range(60)]
+    right = [found == lang for found, (lang, _) in zip(judge.wholes([s for _, s in asked]), asked, strict=True)]
     assert sum(right) / len(right) > 0.98
 
 
@@ -78,7 +110,7 @@ def test_profiles_of_nothing(spark):
     none = spark.createDataFrame([], "seq long, lang string, content string")
     assert fit_profiles(none) == {} and languages.judged_lines(none).count() == 0
     unlabelled = spark.createDataFrame([(1, None, article("en"))], none.schema)
-    assert languages.judged_lines(unlabelled).count() == 0
+    assert [(r.line_no, r.lang, r.confidence, r.running) for r in languages.judged_lines(unlabelled).collect()] == [(0, None, 0.0, False)]
 
 
 def test_sample_is_bounded(docs):
@@ -91,7 +123,16 @@ def test_distance_by_definition():
     judge = Profiles(ranks)
     own = sorted(set(word_grams("the")), key=lambda g: languages._tie(g))
     out = [sum(abs(i - ranks[lang][g]) if g in ranks[lang] else languages.PROFILE for i, g in enumerate(own)) / (languages.PROFILE * len(own)) for lang in judge.langs]
-    assert judge.distances(["the"]).tolist() == pytest.approx(out)
+    assert judge.distances([["the"]])[0].tolist() == pytest.approx(out)
+
+
+def test_distances_of_many_are_those_of_each(docs, monkeypatch):
+    judge = Profiles(fit_profiles(docs))
+    texts = [sentence(lang).lower().split() for lang in PARTS for _ in range(20)] + [["x"], ["zq"] * 30]
+    each = [judge.distances([t])[0].tolist() for t in texts]
+    assert judge.distances(texts).tolist() == each
+    monkeypatch.setattr(languages, "CHUNK_GRAMS", 300)
+    assert judge.distances(texts).tolist() == each and judge.distances([]).shape == (0, len(PARTS))
 
 
 @pytest.fixture(scope="module")
@@ -148,7 +189,7 @@ def test_pages_of_a_stuffed_site_teach_nothing(spark):
     rng = random.Random(4)
     site = [(1000 + i, "en", " ".join(rng.choice(["cheap relay", "bulk keys", "free mirror", "top vault"]) for _ in range(60)), f"http://S.example:80/{i}") for i in range(60)]
     df = spark.createDataFrame(spread_pages(corpus()) + site, WITH_URL)
-    assert not {"cheap", "vault"} & {w for w, x in prose.word_weights(df, "content", "lang").items() if x > 0.5}
+    assert not {"cheap", "vault"} & {w for w, x in prose.largest(prose.word_weights(df, "content", "lang")).items() if x > 0.5}
     assert {r.seq for r in stuffing.stuffed_pages(df).collect()} == {r[0] for r in site}
 
 
