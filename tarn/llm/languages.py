@@ -24,7 +24,6 @@ PROFILE = 2000  # grams of a profile
 MAX_SAMPLE = 20_000  # labelled rows the profiles are fitted on, at most (in expectation)
 MIN_AGREED = 0.5  # share of a label's sampled texts that its first profile finds again, else it names no language
 MIN_WORDS = 4  # of a line of running text
-OTHER_LINES = 0.5  # weight of a character outside running lines (headings, menus), of 1 within
 MIN_MARGIN = 0.15  # by which a line must be nearer to another language than to its text's
 REMEMBERED = 1 << 17  # words and lines a task remembers
 CHUNK_GRAMS = 1 << 20  # grams ranked at a time
@@ -145,8 +144,8 @@ class Profiles:
         """For each text (line_no, language, confidence, running): line 0 for the text, then its
         running lines in other languages.
 
-        The language of a text is the one with most characters of running lines, headings and other
-        lines counting OTHER_LINES of theirs. running says whether it has running lines. Confidence
+        The language of a text is the one with most characters, headings and other lines counting
+        like running ones. running says whether it has running lines. Confidence
         is, for a text, the share of its running characters (of all, where none are) in that
         language; for a line, how much nearer it is than the text's language, relative to that. A
         text without a letter has no language and confidence 0.
@@ -164,7 +163,7 @@ class Profiles:
         share, rest = np.zeros(len(self.langs)), np.zeros(len(self.langs))
         for _, (chars, running, d) in lines:
             (share if running else rest)[int(d.argmin())] += chars
-        main = int((share + OTHER_LINES * rest).argmax())
+        main = int((share + rest).argmax())
         counted = share if share.any() else rest
         out: list = [(0, self.langs[main], float(counted[main] / counted.sum()), bool(share.any()))]
         for i, (_, running, d) in lines:
