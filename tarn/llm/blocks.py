@@ -10,6 +10,7 @@ DROPPED = ("script", "style", "head")
 INLINE = ("a", "b", "i", "em", "strong", "code", "span", "small")
 SECTIONS = ("div", "section", "article", "main", "nav", "aside", "header", "footer", "td", "th", "table", "body", "ul", "ol", "form", "blockquote")
 SEMANTIC = ("article", "main", "nav", "aside", "header", "footer")
+WITHIN = "\x1f"  # between the sections of a place
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
@@ -24,7 +25,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 class Block(NamedTuple):
     text: str
     tag: str  # the nearest enclosing element
-    place: str  # the nearest section with a name or a meaning
+    place: str  # the sections around it that have a name or a meaning, outermost first
     free: int  # characters outside links
 
 
@@ -75,13 +76,9 @@ def page_blocks(html: str) -> list[Block]:
                         del sections[i:]
                         break
             named = _NAME.search(m[3] or "")
-            if named:
-                place = f"{name}.{next(x for x in named.groups() if x is not None)}"
-            elif name in SEMANTIC:
-                place = name
-            else:
-                place = sections[-1][1] if sections else ""
-            sections.append((name, place))
+            around = sections[-1][1] if sections else ""
+            own = f"{name}.{next(x for x in named.groups() if x is not None)}" if named else name if name in SEMANTIC else ""
+            sections.append((name, f"{around}{WITHIN}{own}" if around and own else around or own))
         elif name == "tr":
             for i in range(len(sections) - 1, -1, -1):
                 if sections[i][0] == "table":
@@ -112,23 +109,60 @@ def n_words(text: str) -> int:
 
 
 def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
-    """Positions (in a, in b) of a longest common subsequence; the earliest in a where several are."""
-    shared = set(a) & set(b)
-    pa = [i for i, x in enumerate(a) if x in shared]
-    pb = [j for j, x in enumerate(b) if x in shared]
-    n, m = len(pa), len(pb)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below, x = best[i], best[i + 1], a[pa[i]]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x == b[pb[j]] else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[pa[i]] == b[pb[j]] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append((pa[i], pb[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    """Positions (in a, in b) of a longest common subsequence.
+
+    A row of the table of lengths is one integer of a bit per element of b: whether the length
+    grows there. Every k-th row is kept and those between are worked out again on the way back, so
+    memory is a few rows, and time is len(a) * len(b) / 64 steps of a processor's word.
+    """
+    low, high = 0, 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    ends = [(i, i) for i in range(low)], [(len(a) - high + i, len(b) - high + i) for i in range(high)]
+    mid_a, mid_b = range(low, len(a) - high), range(low, len(b) - high)
+    shared = {a[i] for i in mid_a} & {b[j] for j in mid_b}
+    pa = [i for i in mid_a if a[i] in shared]
+    pb = [j for j in mid_b if b[j] in shared]
+    places: dict = {}
+    for j, at in enumerate(pb):
+        places.setdefault(b[at], []).append(j)
+    masks = {x: _bits(js, len(pb)) for x, js in places.items()}
+    full = (1 << len(pb)) - 1
+
+    def rows(first: int, row: int, upto: int) -> list[int]:
+        out = [row]
+        for i in range(first, upto):
+            grown = row & masks[a[pa[i]]]
+            row = ((row + grown) | (row - grown)) & full
+            out.append(row)
+        return out
+
+    step = max(1, int(len(pa) ** 0.5))
+    kept = [full]
+    for first in range(0, len(pa), step):
+        kept.append(rows(first, kept[-1], min(first + step, len(pa)))[-1])
+    middle, col = [], len(pb)
+    for part in range(len(kept) - 2, -1, -1):
+        first = part * step
+        own = rows(first, kept[part], min(first + step, len(pa)))
+        for i in range(len(own) - 1, 0, -1):
+            while col and own[i] >> (col - 1) & 1:
+                col -= 1
+            if not col:
+                break
+            if own[i - 1] >> (col - 1) & 1:  # the length grows here with this row: a match
+                col -= 1
+                middle.append((pa[first + i - 1], pb[col]))
+        if not col:
+            break
+    return [*ends[0], *reversed(middle), *ends[1]]
+
+
+def _bits(positions: list[int], size: int) -> int:
+    """An integer with the given bits set, in time linear in its size."""
+    data = bytearray(size // 8 + 1)
+    for p in positions:
+        data[p >> 3] |= 1 << (p & 7)
+    return int.from_bytes(data, "little")

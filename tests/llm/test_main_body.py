@@ -1,6 +1,9 @@
 import random
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tarn.llm import main_body
 from tarn.llm.blocks import block_key, common_subsequence, page_blocks, site_pattern
@@ -70,8 +73,8 @@ def test_empty(spark):
 
 def test_blocks():
     html = "<!-- c --><style>x</style><DIV id=a>one <A href=x>link</A>ed<br>two<table class=t><tr><td>c1<td class=s>c2</table>&lt;</div>end<script>never"
-    got = [(b.text, b.tag, b.place) for b in page_blocks(html)]
-    assert got == [("one linked", "div", "div.a"), ("two", "br", "div.a"), ("c1", "td", "table.t"), ("c2", "td", "td.s"), ("&lt;", "", "div.a"), ("end", "", "")]
+    got = [(b.text, b.tag, b.place.replace("\x1f", "/")) for b in page_blocks(html)]
+    assert got == [("one linked", "div", "div.a"), ("two", "br", "div.a"), ("c1", "td", "div.a/table.t"), ("c2", "td", "div.a/table.t/td.s"), ("&lt;", "", "div.a"), ("end", "", "")]
     assert page_blocks("") == [] and page_blocks("<p>a<!-- x -->b</p>")[0].text == "ab"
     assert [b.free for b in page_blocks("<p>ab<a>cd</a></p><p><a>xy</a></p>")] == [2, 0]
 
@@ -88,6 +91,50 @@ def test_common_subsequence():
     assert common_subsequence([1, 1, 2], [1, 2]) in ([(0, 0), (2, 1)], [(1, 0), (2, 1)])
 
 
+def longest(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=25), st.lists(st.integers(0, 5), max_size=25))
+def test_common_subsequence_is_longest(a, b):
+    got = common_subsequence(a, b)
+    assert len(got) == longest(a, b) and all(a[i] == b[j] for i, j in got)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_common_subsequence_of_long_pages():
+    a, b = list(range(50_000)), list(range(50_000))
+    random.Random(1).shuffle(b)
+    began = time.time()
+    assert len(common_subsequence(a, b)) > 300 and len(common_subsequence([1] * 50_000, [1] * 40_000)) == 40_000
+    assert time.time() - began < 20
+
+
+def test_page_of_many_blocks(spark):
+    rng = random.Random(2)
+    foot = "".join(f"<p>share {words(rng, 2)} {chr(97 + i % 26)}{i // 26}x</p>" for i in range(3000))
+    rows = [(i, f"http://long.example/{i}", True, f"<div class=m><p>{words(rng, 30)}</p></div><div class=f>{foot}</div>", "") for i in range(4)]
+    got = main_body.found_blocks(spark.createDataFrame(rows, FETCH)).collect()
+    assert {(r.fetch_id, r.block) for r in got} == {(r[0], r[3].split("<p>")[1].split("</p>")[0]) for r in rows}
+
+
+def test_body_doesnt_depend_on_urls_far_ahead(spark):
+    """Urls before others in order shift the groups and change no verdict."""
+    rng, rows, truth = random.Random(7), [], {}
+    for i in range(40):
+        html, truth[i] = page(rng, "shifted.example", i)
+        rows.append((i, f"http://shifted.example/m/{i:02}", True, html, ""))
+    ahead = [(100 + i, f"http://shifted.example/a/{i:02}", True, page(rng, "shifted.example", i)[0], "") for i in range(11)]
+    one = {tuple(r) for r in main_body.found_blocks(spark.createDataFrame(rows, FETCH)).where("fetch_id between 5 and 40").collect()}
+    two = {tuple(r) for r in main_body.found_blocks(spark.createDataFrame(rows + ahead, FETCH)).where("fetch_id between 5 and 40").collect()}
+    assert one == two == {(i, b) for i in range(5, 40) for b in truth[i]}
+
+
 def test_copies_under_neighbouring_urls(spark):
     rng, rows, truth = random.Random(6), [], {}
     for i in range(12):
