@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.hosts import site
 from tarn.llm.labels import languages_of, named_language
-from tarn.plans.session import cut
+from tarn.plans.session import cut, stored
 
 WORD = r"[\p{L}\p{N}]+"
 LETTERS = r"^\p{L}+$"
@@ -51,30 +51,31 @@ def word_weights(texts: DataFrame, text: str, label: str, url: str = "url") -> W
     The result is bounded: words in at least MIN_SHARE of a language's documents. Wrong labels are
     a minority in any language and change the shares little.
     """
-    own = distinct_texts(texts, text, label, url).withColumn("words", words("text"))
-    return weights_of(own.select("lang", "site", "words"), languages_of(texts, label))
+    langs = languages_of(texts, label)
+    own = stored(distinct_texts(texts, text, label, url).where(F.col("lang").isin(langs)).select("lang", "site", words("text").alias("words")))
+    met = F.transform("words", lambda w: F.struct(w.alias("word"), F.lit(0).alias("docs"), F.lit(1).alias("n")))
+    stood = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("word"), F.lit(1).alias("docs"), F.lit(0).alias("n")))
+    return weights_of(own.select("lang", "site", F.size("words").alias("n_words"), F.concat(met, stood).alias("counts")), langs)
 
 
 def weights_of(texts: DataFrame, langs: list[str]) -> Weights:
-    """word_weights() from lang, site, words (an array) of each text.
+    """word_weights() from lang, site, n_words and counts (array of word, docs, n) of each text.
 
-    One pass counts documents and occurrences of each word; both are summed map-side by language,
-    site and word.
+    Sites over their cap are few, so their factors are broadcast and the words of a language are
+    summed map-side, whatever the number of sites.
     """
-    taught = texts.where(F.col("lang").isin(langs) & (F.size("words") >= MIN_WORDS))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    met = F.transform("words", lambda w: F.struct(w.alias("word"), none.alias("docs"), one.alias("n")))
-    # each text has the empty word once besides its own, which counts the texts
-    stood = F.transform(F.array_append(F.array_distinct("words"), ""), lambda w: F.struct(w.alias("word"), one.alias("docs"), none.alias("n")))
-    each = taught.select("lang", "site", F.explode(F.concat(met, stood)).alias("w"))
-    per_site = cut(each.groupBy("lang", "site", "w.word").agg(F.sum("w.docs").alias("docs"), F.sum("w.n").alias("n")))
-    sizes = per_site.where("word = ''").select("lang", "site", F.col("docs").alias("texts"))
+    taught = texts.where(F.col("lang").isin(langs) & (F.col("n_words") >= MIN_WORDS))
+    sizes = cut(taught.groupBy("lang", "site").agg(F.count("*").alias("texts")))
     caps = site_caps(sizes)
     if not caps:
         return {}
     cap = F.element_at(F.create_map(*[F.lit(x) for pair in caps.items() for x in pair]), F.col("lang"))
-    factors = sizes.select("lang", "site", F.least(F.lit(1.0), cap / F.col("texts")).alias("factor"))
-    return _normalised(per_site.join(factors, ["lang", "site"]))
+    factors = sizes.where(F.col("texts") > cap).select("lang", "site", (cap / F.col("texts")).alias("factor"))
+    factor = F.coalesce("factor", F.lit(1.0))
+    counted = sizes.join(F.broadcast(factors), ["lang", "site"], "left").groupBy("lang").agg(F.sum(F.col("texts") * factor).alias("n"))
+    each = taught.join(F.broadcast(factors), ["lang", "site"], "left").select("lang", factor.alias("factor"), F.explode("counts").alias("w"))
+    used = each.groupBy("lang", "w.word").agg(F.sum(F.col("w.docs") * F.col("factor")).alias("docs"), F.sum(F.col("w.n") * F.col("factor")).alias("n"))
+    return _normalised(cut(used), {r["lang"]: r["n"] for r in counted.collect()})
 
 
 def largest(weights: Weights) -> dict[str, float]:
@@ -110,15 +111,12 @@ def site_caps(sizes: DataFrame) -> dict[str, float]:
     return caps
 
 
-def _normalised(used: DataFrame) -> dict[str, float]:
-    """Shares of the words over the mean share of the language's running words."""
-    total = {r.lang: r.n for r in used.where("word = ''").groupBy("lang").agg(F.sum(F.col("docs") * F.col("factor")).alias("n")).collect()}
-    all_texts = F.element_at(F.create_map(*[F.lit(x) for pair in total.items() for x in pair]), F.col("lang"))
-    per_word = used.where(F.col("word").rlike(LETTERS)).groupBy("lang", "word").agg((F.sum(F.col("docs") * F.col("factor"))).alias("docs"))
-    shares = per_word.select("lang", "word", (F.col("docs") / all_texts).alias("share")).where(F.col("share") >= MIN_SHARE).collect()
+def _normalised(used: DataFrame, texts: dict[str, float]) -> Weights:
+    """Shares of the words (lang, word, docs, n) over the mean share of the language's running words."""
+    all_texts = F.element_at(F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]), F.col("lang"))
+    shares = used.where(F.col("word").rlike(LETTERS)).select("lang", "word", (F.col("docs") / all_texts).alias("share")).where(F.col("share") >= MIN_SHARE).collect()
     known = used.sparkSession.createDataFrame(shares, "lang string, word string, share double")
-    running = used.where("word <> ''").select("lang", "word", (F.col("n") * F.col("factor")).alias("n"))
-    sums = running.join(F.broadcast(known), ["lang", "word"], "left").groupBy("lang").agg((F.sum(F.coalesce("share", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("mean")).collect()
+    sums = used.join(F.broadcast(known), ["lang", "word"], "left").groupBy("lang").agg((F.sum(F.coalesce("share", F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("mean")).collect()
     mean = {r["lang"]: r["mean"] for r in sums}
     weights: Weights = {}
     for r in shares:

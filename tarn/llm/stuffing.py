@@ -17,7 +17,7 @@ from tarn.plans.session import stored
 
 CURVE = ("level", "slope", "residual")
 FLAGGED = 1.0  # sum of the departures, each in natural logs: a factor e from prose in all
-ROUNDS = 4  # of fitting on what isn't flagged; next to nothing changes after the second
+ROUNDS = 3  # of fitting on what isn't flagged; next to nothing changes after the second
 MIN_TEXTS = 30  # a language with fewer is judged by all languages' prose
 NO_WORD = 0.02  # mean weight that a text without a known word counts with
 _USUAL = "lang string, at double, " + ", ".join(f"{f}_mean double, {f}_per double" for f in CURVE)
@@ -48,17 +48,17 @@ def curves(docs: DataFrame, text: str = "content", label: str = "lang") -> DataF
         )
     )
     own = stored(fitted)
-    repeated = F.flatten(F.transform("counts", lambda c: F.array_repeat(c["word"], c["n"].cast("int"))))
-    weights = weights_of(own.select("lang", "site", repeated.alias("words")), languages_of(docs, label))
+    met = F.transform("counts", lambda c: F.struct(c["word"].alias("word"), F.lit(1).alias("docs"), c["n"].alias("n")))
+    weights = weights_of(own.select("lang", "site", "n_words", met.alias("counts")), languages_of(docs, label))
     langs = sorted(weights)
     table: dict[str, list[float]] = {}
     for j, lang in enumerate(langs):
         for word, weight in weights[lang].items():
             table.setdefault(word, [0.0] * len(langs))[j] = weight
     model = docs.sparkSession.createDataFrame(list(table.items()), "word string, weights array<double>")
-    met = own.select("version", F.explode("counts").alias("c")).select("version", "c.*").join(F.broadcast(model), "word")
+    known = own.select("version", F.explode("counts").alias("c")).select("version", "c.*").join(F.broadcast(model), "word")
     total = [F.sum(F.col("n") * F.col("weights")[j]).alias(f"t{j}") for j in range(len(langs))] or [F.lit(0.0).alias("t")]
-    matched = met.groupBy("version").agg(*total)
+    matched = known.groupBy("version").agg(*total)
     best = F.array_max(F.array(*[F.struct(F.col(f"t{j}").alias("total"), F.lit(lang).alias("lang")) for j, lang in enumerate(langs)])) if langs else F.struct(F.lit(0.0).alias("total"), F.lit("").alias("lang"))
     scored = matched.select("version", best.alias("best"))
     facts = own.select("version", "n_words", "n_types", "slope", "residual").join(scored, "version", "left")
