@@ -55,13 +55,12 @@ class Profiles:
         self.end = regex.compile(rf"[\p{{L}}\p{{N}}]{closing}[.!?…。！？]+{closing}(?:\s|$)")
         self.langs = sorted(ranks)
         known = sorted({g for r in ranks.values() for g in r})
-        self.table = np.full((len(known) + 1, len(self.langs)), PROFILE, dtype=np.int32)  # the last row is of unknown grams
+        # grams that a profile lacks, and in the last row unknown ones, are out of any rank's reach
+        self.table = np.full((len(known) + 1, len(self.langs)), 3 * PROFILE, dtype=np.int16)
         self.base = {g: i for i, g in enumerate(known)}
-        self.listed = np.zeros((len(known) + 1, len(self.langs)), dtype=bool)
         for j, lang in enumerate(self.langs):
             for g, rank in ranks[lang].items():
                 self.table[self.base[g], j] = rank
-                self.listed[self.base[g], j] = True
         self.base_ties = np.array([_tie(g) for g in known], dtype=np.int64)
         self._forget()
 
@@ -87,33 +86,43 @@ class Profiles:
 
     def distances(self, texts: list[list[str]]) -> np.ndarray:
         """Distance of each list of words to each language, 0 to 1: a row per list, none of them empty."""
-        grams = [np.concatenate([self._word(w) for w in words]) for words in texts]
-        out, held, size = [], [], 0
-        for own in [*grams, None]:
-            if held and (own is None or size + len(own) > CHUNK_GRAMS):
-                out.append(self._ranked(held))
-                held, size = [], 0
-            if own is not None:
-                held.append(own)
-                size += len(own)
-        return np.concatenate(out) if out else np.zeros((0, len(self.langs)))
-
-    def _ranked(self, grams: list[np.ndarray]) -> np.ndarray:
-        """The same for gram ids, all texts in two sorts: by gram to count, by count to rank."""
-        n = len(self.ids)
-        keys = np.sort(np.concatenate([ids + at * n for at, ids in enumerate(grams)]))
+        if not texts:
+            return np.zeros((0, len(self.langs)))
+        known, learn = self.words, self._word
+        grams = [known[w] if w in known else learn(w) for words in texts for w in words]
+        words = np.r_[0, np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))]
+        upto = np.r_[0, np.cumsum(np.fromiter(map(len, grams), dtype=np.int64, count=len(grams)))][words]
+        out, first = [], 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] + CHUNK_GRAMS, "right")) - 1)
+            out.append(self._ranked(np.concatenate(grams[words[first] : words[last]]), np.diff(upto[first : last + 1])))
+            first = last
+        return np.concatenate(out)
+
+    def _ranked(self, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same for the gram ids of texts of these sizes, in two sorts: by gram to count, by count
+        to rank."""
+        bits = len(self.ids).bit_length()
+        keys = grams | np.repeat(np.arange(len(sizes)) << bits, sizes)
+        keys.sort()
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         counts = np.diff(np.r_[starts, len(keys)])
-        text, gram = np.divmod(keys[starts], n)
-        order = np.lexsort((self.ties[gram], -counts, text))
+        text, gram = keys[starts] >> bits, keys[starts] & ((1 << bits) - 1)
+        ties, most = self.ties[gram], int(counts.max())
+        if len(sizes).bit_length() + most.bit_length() + 32 < 63:  # one number says the order: text, count falling, tie
+            order = np.argsort((text << (most.bit_length() + 32)) | ((most - counts) << 32) | ties)
+        else:
+            order = np.lexsort((ties, -counts, text))
         text, gram = text[order], gram[order]
-        first = np.searchsorted(text, np.arange(len(grams)))
+        first = np.searchsorted(text, np.arange(len(sizes)))
         rank = np.arange(len(text)) - first[text]
-        best = rank < PROFILE
-        text, gram, rank = text[best], np.minimum(gram[best], len(self.table) - 1), rank[best]
-        apart = np.where(self.listed[gram], np.abs(rank[:, None] - self.table[gram]), PROFILE)
-        first = np.searchsorted(text, np.arange(len(grams)))
-        return np.add.reduceat(apart, first, axis=0) / (PROFILE * np.diff(np.r_[first, len(text)])[:, None])
+        if rank.max() >= PROFILE:
+            best = rank < PROFILE
+            text, gram, rank = text[best], gram[best], rank[best]
+            first = np.searchsorted(text, np.arange(len(sizes)))
+        apart = np.abs(self.table[np.minimum(gram, len(self.table) - 1)] - rank.astype(np.int16)[:, None])
+        np.minimum(apart, PROFILE, out=apart)
+        return np.add.reduceat(apart, first, axis=0, dtype=np.int64) / (PROFILE * np.diff(np.r_[first, len(text)])[:, None])
 
     def wholes(self, texts: list[str]) -> list[str | None]:
         """The nearest language of each text as a whole; None for one of under MIN_WORDS words."""
