@@ -41,13 +41,14 @@ def main() -> None:
     options.add_argument("--load", help="directory of a saved index")
     options.add_argument("--cores", default="4")
     options.add_argument("--source", choices=("stub", "http"), default="stub", help="where pages come from")
-    options.add_argument("--proxy", help="proxy url of the http source")
+    options.add_argument("--proxy", help="SOCKS5 endpoints of the http source, host:port separated by commas")
     options.add_argument("--retries", type=int, default=2, help="tries after a transient error")
     options.add_argument("--max-pages", type=int, default=MAX_PAGES)
     options.add_argument("--max-depth", type=int, default=MAX_DEPTH)
     options.add_argument("--ignore-robots", action="store_true")
     chosen = options.parse_args()
-    source = HttpSource(retries=chosen.retries, proxy=chosen.proxy) if chosen.source == "http" else StubSource()
+    proxies = [(h or "127.0.0.1", int(p)) for h, _, p in (x.strip().rpartition(":") for x in (chosen.proxy or "").split(",")) if p]
+    source = HttpSource(retries=chosen.retries, proxies=proxies) if chosen.source == "http" else StubSource()
     limits = CrawlOptions(max_pages=chosen.max_pages, max_depth=chosen.max_depth, obey_robots=not chosen.ignore_robots)
     engine = Engine(local_session(chosen.cores), source, limits)
     if chosen.load:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,15 +91,16 @@ class Engine:
         rows = "".join(f'<li>[{h.source}] <b>{h.title}</b><br><a href="{h.url}">{h.url}</a><br>{h.snippet} ({h.score})</li>\n' for h in shown)
         return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{asked}</title></head><body>\n<form><input name="q" maxlength="256" value="{asked}"></form>\n<p>{len(shown)} results</p>\n<ol>\n{rows}</ol>\n</body></html>\n'
 
-    def crawl(self, urls: list[str]) -> frontier.Crawl:
-        """Crawl from the given addresses and index what is found; blank ones are refused."""
+    def crawl(self, urls: list[str], on_level: Callable[[DataFrame, DataFrame], None] | None = None, stopped: Callable[[], bool] | None = None) -> frontier.Crawl:
+        """Crawl from the given addresses and index what is found; blank ones are refused. `on_level` and
+        `stopped` are those of frontier.crawl()."""
         wanted = [u for u in map(normalize_url, urls) if u]
         if not wanted:
             raise ValueError("no url")
         self.running = True
         try:
             seeds = self.spark.createDataFrame([(u, 0, -1, i) for i, u in enumerate(wanted)], "url string, depth int, priority int, seq long")
-            done = frontier.crawl(seeds, self.source, self.options)
+            done = frontier.crawl(seeds, self.source, self.options, on_level, stopped)
         finally:
             self.running = False
         self.add(done.docs.withColumn("seq", F.monotonically_increasing_id()))

@@ -50,6 +50,25 @@ def random_bytes(n: int) -> bytes:
     return secrets.token_bytes(n)
 
 
+def random_hex(n: int) -> str:
+    """n random bytes in lower-case hex."""
+    return secrets.token_hex(n)
+
+
+def to_base32(data: bytes) -> str:
+    """Lower-case base32 without padding, as in the names of hidden services."""
+    import base64
+
+    return base64.b32encode(data).decode().rstrip("=").lower()
+
+
+def from_base32(text: str) -> bytes:
+    """Bytes of to_base32(), either case; ValueError for other characters."""
+    import base64
+
+    return base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+
+
 def passphrase(n: int = 16) -> str:
     """A random passphrase of n characters, 8 at least."""
     alphabet = "abcdefghijkmnpqrstuvwxyz23456789"

@@ -15,6 +15,7 @@ from tarn.plans.ids import dense_ids
 from tarn.plans.session import cut
 
 MAX_PAGES, MAX_DEPTH, DOMAIN_DELAY_MS = 64, 2, 100
+MAX_TOP = 100_000  # rows of a cap that a top-k holds
 
 
 def effective_priority(rows: DataFrame) -> DataFrame:
@@ -39,8 +40,13 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 
 def admit(offers: DataFrame, seen: DataFrame | None = None, room: int = MAX_PAGES) -> DataFrame:
-    """Offers accepted in order of arrival while there is room: the cap counts all ever accepted."""
-    return effective_priority(first_offers(offers, seen)).orderBy("seq").limit(max(0, room))
+    """Offers accepted in order of arrival while there is room: the cap counts all ever accepted.
+
+    A top-k where one task can hold the cap; a larger one is cut off by positions of a range sort."""
+    fresh = effective_priority(first_offers(offers, seen))
+    if room <= MAX_TOP:
+        return fresh.orderBy("seq").limit(max(0, room))
+    return dense_ids(fresh, ["seq", "url"], "_at").where(F.col("_at") < room).drop("_at")
 
 
 def schedule(rows: DataFrame, delay_ms: int = DOMAIN_DELAY_MS, request_delay_ms: int = 0) -> DataFrame:
@@ -108,8 +114,8 @@ def crawl(
     `on_level` is told each level's documents and events as tables; `stopped` is asked before the
     next level: the level at hand is drained, nothing new is admitted.
 
-    `seeds` has url (and may have depth, priority, seq); `fetch` maps url rows to (url, ok, html,
-    error). Each level is checkpointed, so a lost executor repeats one level at most. All links of
+    `seeds` has url (and may have depth, priority, seq); `fetch` maps rows of url and wait_ms to (url,
+    ok, html, error). Each level is checkpointed, so a lost executor repeats one level at most. All links of
     a page are followed unless strict_break is set. Blocked and failed pages count as crawled.
     """
     options = options or CrawlOptions()
@@ -141,7 +147,7 @@ def crawl(
         else:
             judged = level.withColumn("allowed", F.lit(True))
         timed = schedule_small(judged, options.domain_delay_ms + options.request_delay_ms)
-        answers = fetch(timed.where("allowed").select("url"))
+        answers = fetch(timed.where("allowed").select("url", "wait_ms"))  # a live source keeps the distance
         pages = cut(timed.select("url", "depth", "priority", "seq", "wait_ms", "allowed").join(answers, "url", "left"))
         good = pages.where("allowed and ok and html is not null")
         own_docs = cut(documents_of(good, depth="depth"))

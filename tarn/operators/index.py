@@ -53,7 +53,10 @@ def postings_of(docs: DataFrame, title: str | None = "title", snippet: str | Non
         return F.transform(tokenize(field), lambda t: F.struct(t.alias("term"), F.lit(weight).cast("long").alias("weight")))
 
     parts = [weighed(f, w) for f, w in fields_of(title, snippet, content)]
-    rows = docs.select("doc_id", length_of(title, snippet, content).alias("dl"), F.explode(F.concat(*parts)).alias("t"))
+    # the length is summed below the explode: beside it, it would be worked out again for each token
+    tokens = docs.select("doc_id", F.concat(*parts).alias("tokens"))
+    sized = tokens.select("doc_id", F.aggregate("tokens", F.lit(0).cast("long"), lambda n, t: n + t["weight"]).alias("dl"), "tokens")
+    rows = sized.select("doc_id", "dl", F.explode("tokens").alias("t"))
     return rows.groupBy(F.col("t.term").alias("term"), "doc_id").agg(F.sum("t.weight").alias("tf"), F.max("dl").alias("dl"))
 
 
@@ -86,6 +89,7 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
     next_id: int = 1
+    known: tuple[int, int] | None = None  # number of documents and of weighted terms, where a store keeps them
 
     @staticmethod
     def build(docs: DataFrame, next_id: int | None = None, **fields: str | None) -> Index:
@@ -104,6 +108,8 @@ class Index:
 
     def totals(self) -> tuple[int, float]:
         """Number of documents and their average length: two numbers, on the driver."""
+        if self.known is not None:
+            return self.known[0], self.known[1] / self.known[0] if self.known[0] else 0.0
         row = self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
         return row["n"], row["total"] / row["n"] if row["n"] else 0.0
 
@@ -119,9 +125,12 @@ class Index:
         gone = ids.select("doc_id").distinct()
         return Index(*(t.join(gone, "doc_id", "left_anti") for t in (self.docs, self.postings, self.lengths)), self.next_id)
 
-    def upsert(self, changes: DataFrame) -> Index:
-        """Replace or add documents by url. `changes` needs seq and the document columns; the last
-        seq of a url wins. A known url keeps its id, new ones get the next, in order of appearance.
+    def changed(self, changes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """(documents, gone, next_id) that an upsert of `changes` comes to: the new versions with
+        their ids, the ids of the versions that they replace, and the next free id.
+
+        `changes` needs seq and the document columns; the last seq of a url wins. A known url keeps
+        its id, new ones get the next, in order of appearance.
         """
         from tarn.plans.ids import dense_ids
 
@@ -132,11 +141,14 @@ class Index:
         new = latest.join(known, "url", "left_anti")
         firsts = rows.withColumn("url", F.coalesce("url", F.lit(""))).groupBy("url").agg(F.min("seq").alias("_first"))
         ids = dense_ids(firsts.join(known, "url", "left_anti"), ["_first", "url"], "doc_id", start=self.next_id)
-        added = new.join(ids.drop("_first"), "url")
-        fresh = kept.unionByName(added).drop("seq")
-        rest = self.remove(fresh)
-        own = Index.build(fresh.select(*[c for c in self.docs.columns if c in fresh.columns]), next_id=0)
+        fresh = kept.unionByName(new.join(ids.drop("_first"), "url")).drop("seq")
         next_id = (ids.agg(F.max("doc_id")).first()[0] or self.next_id - 1) + 1
+        return fresh.select(*[c for c in self.docs.columns if c in fresh.columns]), kept.select("doc_id"), next_id
+
+    def upsert(self, changes: DataFrame) -> Index:
+        """Replace or add documents by url, see changed()."""
+        fresh, gone, next_id = self.changed(changes)
+        rest, own = self.remove(gone), Index.build(fresh, next_id=0)
         return Index(
             rest.docs.unionByName(own.docs, allowMissingColumns=True),
             rest.postings.unionByName(own.postings),

@@ -29,7 +29,7 @@ def geometry_columns(n: Column, p: Column) -> tuple[Column, Column]:
 
 def positions(key: Column, bits: int, hashes: int) -> Column:
     """Bit positions of a key by double hashing; the second hash is made odd, so never 0."""
-    h1, h2 = F.xxhash64(key), F.xxhash64(key, F.lit(1)).bitwiseOR(F.lit(1).cast("long"))
+    h1, h2 = F.xxhash64(key), F.xxhash64(F.lit(1), key).bitwiseOR(F.lit(1).cast("long"))
     terms = [F.pmod(F.pmod(h1, F.lit(bits)) + F.lit(i) * F.pmod(h2, F.lit(bits)), F.lit(bits)) for i in range(hashes)]
     return F.array(*terms)
 
@@ -41,6 +41,11 @@ def build(keys: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
     return spread.select(block.alias("block"), (F.col("bit") % WORD_BITS).cast("int").alias("at")).groupBy("block").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
 
+def clear(sketch: DataFrame) -> DataFrame:
+    """The sketch without a key."""
+    return sketch.where(F.lit(False))
+
+
 def probe(rows: DataFrame, key: str, sketch: DataFrame, bits: int, hashes: int) -> DataFrame:
     """`rows` with maybe: true for every inserted key, rarely for others; false for a null key."""
     set_bits = sketch.select("block", F.explode("at").alias("at")).select((F.col("block") * WORD_BITS + F.col("at")).alias("bit"))

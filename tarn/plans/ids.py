@@ -34,10 +34,11 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "id", start: int = 0)
     )
     if not counts:
         return sorted_rows.withColumn(name, F.col(row)).drop(row)
-    by_part = {r[part]: r["n"] for r in counts}
     offsets, total = [], start
-    for p in range(max(by_part) + 1):
-        offsets.append(total)
-        total += by_part.get(p, 0)
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), (F.shiftright(row, ROW_BITS) + 1).cast("int"))
-    return sorted_rows.withColumn(name, offset + position).drop(row)
+    for r in sorted(counts, key=lambda r: r[part]):
+        offsets.append((r[part], total))
+        total += r["n"]
+    # one row a partition, so small enough to be broadcast
+    table = sorted_rows.sparkSession.createDataFrame(offsets, f"{part} long, {name}_ long")
+    placed = sorted_rows.withColumn(part, F.shiftright(row, ROW_BITS)).join(F.broadcast(table), part)
+    return placed.withColumn(name, F.col(f"{name}_") + position).drop(row, part, f"{name}_")

@@ -37,14 +37,30 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one is set only where the session names none."""
+    """The shared folder of the session. One is set only where the session names none, and only on one
+    machine: on a cluster a folder of the driver's machine isn't the executors'.
+
+    What this session leaves there goes when the driver ends.
+    """
     sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"tarn-checkpoints-{os.getuid()}"))
     known = sc.getCheckpointDir()
-    if known:
-        return known
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"tarn-checkpoints-{os.getuid()}"))
-    return sc.getCheckpointDir()
+    if sc.applicationId not in _swept:
+        _swept.add(sc.applicationId)
+        delete_at_end(spark, known)  # Spark makes a folder of its own for each session
+    return known
+
+
+_swept: set[str] = set()
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -97,7 +113,4 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tarn-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

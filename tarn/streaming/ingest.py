@@ -14,6 +14,7 @@ from tarn.functions.html import documents_of
 from tarn.functions.urls import domain_of
 from tarn.operators.index import Index
 from tarn.plans.session import shipped
+from tarn.schemas import DOCS
 from tarn.sources import store
 
 PAGES = "fetch_id long, url string, ok boolean, html string, error string, fetched_at timestamp"
@@ -26,7 +27,8 @@ def page_stream(spark: SparkSession, directory: str, files_per_batch: int = 16)
 def upsert_stream(pages: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Extract each micro-batch and upsert it into the stored index under `path`.
 
-    A batch that runs again after a failure upserts the same rows, so the result is the same.
+    Each batch writes its own documents as a layer. A batch that runs again after a failure upserts
+    the same rows, so the result is the same.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
@@ -34,13 +36,8 @@ def upsert_stream(pages: DataFrame, path: str, checkpoint: str, available_now: b
         good = batch.where("ok and html is not null and html <> ''")
         newest = good.join(good.groupBy("url").agg(F.max("fetch_id").alias("fetch_id")), ["url", "fetch_id"], "left_semi").dropDuplicates(["url"])
         rows = documents_of(newest.select("url", "html")).join(newest.select("url", F.col("fetch_id").alias("seq")), "url")
-        try:
-            index = store.load(spark, path)
-        except store.StoreError:
-            from tarn.schemas import DOCS
-
-            index = Index.build(spark.createDataFrame([], DOCS), next_id=1)
-        store.save(index.upsert(rows), path)
+        empty = Index.build(spark.createDataFrame([], DOCS), next_id=1)
+        store.upsert(spark, path, rows, empty)  # a damaged store is an error, never an empty one
 
     writer = pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

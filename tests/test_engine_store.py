@@ -51,8 +51,11 @@ def test_crawl_adds_pages(spark):
     assert e.dashboard()["activity"].count() == 6
     e.crawl(["http://h.example/"])
     assert e.status().first().documents == 10
+    told = []
+    e.crawl(["http://k.example/"], on_level=lambda docs, events: told.append(events.count()), stopped=lambda: True)
+    assert told == [1] and e.status().first().documents == 11
     e.remove([1])
-    assert e.status().first().documents == 9
+    assert e.status().first().documents == 10
     e.clear()
     assert e.status().first().documents == 0 and e.search("onion").count() == 0
     with pytest.raises(ValueError, match="no url"):
@@ -75,10 +78,69 @@ def test_store_round_trip(spark, engine, tmp_path):
     assert [tuple(r) for r in rank.search(back, "index").collect()] == before and back.next_id == engine.index.next_id
     with pytest.raises(store.StoreError):
         store.load(spark, str(tmp_path / "none"))
-    (tmp_path / "bad").mkdir()
-    (tmp_path / "bad" / "manifest.json").write_text("{")
-    with pytest.raises(store.StoreError):
-        store.load(spark, str(tmp_path / "bad"))
+    assert back.known == (4, engine.index.lengths.agg({"dl": "sum"}).first()[0])
+    with pytest.raises(store.MissingStore):
+        store.load(spark, str(tmp_path / "none"))
+
+
+CHANGE = "seq long, url string, title string, snippet string, content string, source string, depth int"
+
+
+def damage(directory, text="{"):
+    newest = max(directory.glob("manifest-*.json"))
+    newest.write_text(text)
+    (directory / f".{newest.name}.crc").unlink(missing_ok=True)
+
+
+def test_layers(spark, engine, tmp_path, monkeypatch):
+    path = str(tmp_path / "ix")
+    store.save(engine.index, path)
+    index = engine.index
+    for i in range(4):
+        rows = [(1, engine.index.docs.first().url, f"again {i}", "", "words of change", "clearweb", 0), (2, f"http://new{i}/", "new", "", f"layer number{i}", "clearweb", 0)]
+        changes = spark.createDataFrame(rows, CHANGE)
+        monkeypatch.setattr(store, "MAX_LAYERS", 3)
+        store.upsert(spark, path, changes)
+        index = index.upsert(changes)
+        index = type(index)(*(spark.createDataFrame(t.collect(), t.schema) for t in (index.docs, index.postings, index.lengths)), index.next_id)
+        back = store.load(spark, path)
+        for own, there in ((index.docs, back.docs), (index.postings, back.postings), (index.lengths, back.lengths)):
+            assert sorted(map(str, (r.asDict() for r in own.collect()))) == sorted(str({c: r[c] for c in own.columns}) for r in there.collect())
+        assert back.next_id == index.next_id and back.known == (4 + i + 1, index.lengths.agg({"dl": "sum"}).first()[0])
+    # the fourth upsert passed the number of layers once and wrote a base
+    assert len(list((tmp_path / "ix").glob("manifest-*.json"))) == 6
+
+
+def test_damaged_store_is_refused(spark, engine, tmp_path):
+    path = str(tmp_path / "ix")
+    store.save(engine.index, path)
+    changes = spark.createDataFrame([(1, "http://x/", "t", "", "c", "clearweb", 0)], CHANGE)
+    for text in ("{", "[]", '{"format": 99}', '{"format": 2}'):
+        damage(tmp_path / "ix", text)
+        with pytest.raises(store.StoreError):
+            store.upsert(spark, path, changes, engine.index)
+        with pytest.raises(store.StoreError):
+            store.load(spark, path)
+
+
+def test_crash_before_the_pointer_moves(spark, engine, tmp_path, monkeypatch):
+    path = str(tmp_path / "ix")
+    store.save(engine.index, path)
+    changes = spark.createDataFrame([(1, "http://x/", "t", "", "c", "clearweb", 0)], CHANGE)
+
+    def crash(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", crash)
+        with pytest.raises(OSError, match="gone"):
+            store.upsert(spark, path, changes)
+    assert store.load(spark, path).docs.count() == 4
+    (tmp_path / "ix" / ".manifest.0123").write_text("half")  # left by a writer that died
+    store.upsert(spark, path, changes)
+    assert store.load(spark, path).docs.count() == 5
+    with pytest.raises(store.StoreError, match="someone else"):
+        store._publish(spark, path, "manifest", {}, 0)
 
 
 def test_encrypted_round_trip(spark, engine, tmp_path):
@@ -89,13 +151,14 @@ def test_encrypted_round_trip(spark, engine, tmp_path):
         store.load_encrypted(spark, path, "wrong")
     stored = b"".join(p.read_bytes() for p in (tmp_path / "sealed").rglob("*") if p.is_file())
     assert b"pond" not in stored
-    sealed = json.loads((tmp_path / "sealed" / "sealed.json").read_text())
+    (pointer,) = (tmp_path / "sealed").glob("sealed-*.json")
+    sealed = json.loads(pointer.read_text())
     version = f"{path}/{sealed['version']}"
     broken = spark.read.parquet(version).selectExpr("concat(substring(sealed, 1, length(sealed) - 1), x'00') as sealed")
     broken.write.parquet(f"{path}/v2")
     sealed["version"] = "v2"
-    (tmp_path / "sealed" / ".sealed.json.crc").unlink(missing_ok=True)
-    (tmp_path / "sealed" / "sealed.json").write_text(json.dumps(sealed))
+    (tmp_path / "sealed" / f".{pointer.name}.crc").unlink(missing_ok=True)
+    pointer.write_text(json.dumps(sealed))
     with pytest.raises(PySparkException):
         store.load_encrypted(spark, path, "right").collect()
 

@@ -114,3 +114,13 @@ def test_activity_keeps_the_newest(spark):
     assert [r.i for r in activity.recent(df, 3).collect()] == [1, 2, 3]
     assert [r.i for r in activity.recent(df, 0).collect()] == [3]
     assert one(spark, activity.format_time(F.timestamp_seconds(F.lit(0)))) == "1970-01-01 00:00:00"
+
+
+def test_base32_and_hex():
+    from tarn.functions import encoding
+
+    for n in range(40):
+        data = encoding.random_bytes(n)
+        coded = encoding.to_base32(data)
+        assert encoding.from_base32(coded) == encoding.from_base32(coded.upper()) == data and "=" not in coded and coded == coded.lower()
+    assert encoding.to_base32(b"foobar") == "mzxw6ytboi" and len(encoding.random_hex(8)) == 16

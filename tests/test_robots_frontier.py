@@ -1,8 +1,16 @@
+import http.server
+import socket
+import threading
+import time
+from typing import ClassVar
+
+import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import frontier, robots
+from tarn.functions.urls import domain_of
+from tarn.operators import frontier, netpolicy, robots
 from tarn.operators.frontier import CrawlOptions, admit, crawl, in_order, reachable, schedule
-from tarn.sources.pages import StubSource, TableSource, is_transient
+from tarn.sources.pages import HttpSource, StubSource, TableSource, is_transient, probe_socks
 
 OFFER = "url string, depth int, priority int, seq long"
 
@@ -100,8 +108,9 @@ def test_empty_tables(spark):
 
 
 def test_transient_errors(spark):
-    df = spark.createDataFrame([("Could not connect: x",), ("status 404",), (None,)], "e string")
-    assert [r[0] for r in df.select(is_transient("e")).collect()] == [True, False, False]
+    given = ["Could not connect: x", "status 404", None, "timed out", "proxy error: x", "HTTP/2 error", "empty answer", "tls error: x"]
+    df = spark.createDataFrame([(e,) for e in given], "e string")
+    assert [r[0] for r in df.select(is_transient("e")).collect()] == [True, False, False, True, True, True, False, False]
     assert df.where(F.lit(False)).count() == 0
 
 
@@ -114,8 +123,103 @@ def test_callbacks_and_stop(spark):
 
 
 def test_http_source_reports_errors(spark):
-    from tarn.sources.pages import HttpSource
-
-    df = spark.createDataFrame([("http://127.0.0.1:9/x",), ("nonsense",), (None,)], "url string")
-    got = {r.url: (r.ok, r.html) for r in HttpSource(timeout_s=0.5, retries=0)(df).collect()}
-    assert got == {"http://127.0.0.1:9/x": (False, None), "nonsense": (False, None)}
+    df = spark.createDataFrame([("http://127.0.0.1:9/x",), ("nonsense",), (None,), ("http://x.onion/",)], "url string")
+    got = {r.url: (r.ok, r.html, r.error.split(":")[0]) for r in HttpSource(timeout_s=0.5, retries=0)(df).collect()}
+    assert got == {"http://127.0.0.1:9/x": (False, None, "could not connect"), "nonsense": (False, None, "unsupported address nonsense"), "http://x.onion/": (False, None, "unsupported address")}
+
+
+class Pages(http.server.BaseHTTPRequestHandler):
+    """A site of this machine: what was asked when, large pages, redirects, one that fails at first."""
+
+    asked: ClassVar[list] = []
+
+    def do_GET(self):
+        Pages.asked.append((self.path, time.monotonic()))
+        if self.path.startswith("/hop"):
+            n = int(self.path[4:])
+            self.send_response(302)
+            self.send_header("Location", f"/hop{n - 1}" if n else "/page")
+            self.end_headers()
+            return
+        if self.path == "/none":
+            self.send_error(404)
+            return
+        if self.path == "/shaky" and sum(p == "/shaky" for p, _ in Pages.asked) == 1:
+            self.connection.close()
+            return
+        body = b"<title>Page</title>" + b"x" * ((9 << 20) if self.path == "/large" else 10)
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def site():
+    Pages.asked.clear()
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_http_pages_are_whole_and_redirects_bounded(spark, site):
+    df = spark.createDataFrame([(site + p,) for p in ("/page", "/large", "/hop4", "/hop9", "/none", "/shaky")], "url string")
+    got = {r.url.removeprefix(site): r for r in HttpSource(timeout_s=20)(df).collect()}
+    assert got["/page"].ok and got["/hop4"].ok and got["/shaky"].ok and len(got["/large"].html) == (9 << 20) + 19
+    assert (got["/hop9"].error, got["/none"].error) == ("too many redirects", "status 404")
+    assert sum(p == "/none" for p, _ in Pages.asked) == 1  # a server's answer isn't asked for again
+
+
+def test_crawl_keeps_its_distance(spark, site):
+    seeds = spark.createDataFrame([(f"{site}/p{i}",) for i in range(4)], "url string")
+    done = crawl(seeds, HttpSource(), CrawlOptions(max_depth=0, domain_delay_ms=300, obey_robots=False))
+    at = sorted(t for _, t in Pages.asked)
+    assert done.counts["indexed"] == 4 and all(b - a > 0.25 for a, b in zip(at, at[1:], strict=False))
+
+
+def socks_server(seen, refuse=False):
+    """One that answers SOCKS5 and then plays the web server itself."""
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        while True:
+            try:
+                c, _ = server.accept()
+            except OSError:
+                return
+            if refuse:
+                c.close()
+                continue
+            c.recv(4)
+            c.sendall(b"\x05\x02")
+            user = c.recv(600)
+            if len(user) > 2:  # a probe goes after the greeting
+                c.sendall(b"\x01\x00")
+                asked = c.recv(600)
+                seen.append((user[2 : 2 + user[1]].decode(), asked[5 : 5 + asked[4]].decode()))
+                c.sendall(b"\x05\x00\x00\x01\x00\x00\x00\x00\x00\x00")
+                c.recv(4000)
+                c.sendall(b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nonion")
+            c.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    return server, server.getsockname()
+
+
+def test_onion_pages_by_socks(spark):
+    seen = []
+    server, up = socks_server(seen)
+    dead, down = socks_server([], refuse=True)
+    assert probe_socks(up) == "up" and probe_socks(down, 0.5) == "down"
+    seen.clear()
+    df = spark.createDataFrame([("http://a.onion/1",), ("http://a.onion/2",), ("http://b.onion/1",)], "url string").coalesce(1)
+    got = HttpSource(proxies=[down, up], timeout_s=4)(df).collect()
+    assert all(r.ok and r.html == "onion" for r in got)
+    tokens = df.select(netpolicy.isolation_token("url").alias("t"), domain_of("url").alias("d")).distinct().collect()
+    assert {(r.t, r.d) for r in tokens} == set(seen) and len(set(seen)) == 2
+    server.close()
+    dead.close()

@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from tarn.operators import rank
 from tarn.sources import store
 from tarn.streaming import ingest
@@ -19,6 +22,17 @@ def test_upsert_stream(spark, tmp_path):
     index = store.load(spark, out)
     assert {(r.doc_id, r.url) for r in index.docs.collect()} == {(1, "http://h/a"), (2, "http://h/b")}
     assert [r.doc_id for r in rank.search(index, "fresh").collect()] == [1] and index.lookup("old").count() == 0
+    # a damaged pointer stops the stream and loses nothing
+    newest = max((tmp_path / "ix").glob("manifest-*.json"))
+    whole = newest.read_text()
+    newest.write_text("{")
+    (tmp_path / "ix" / f".{newest.name}.crc").unlink(missing_ok=True)
+    spark.createDataFrame([page(5, "http://h/d", "late words")], ingest.PAGES).coalesce(1).write.mode("append").parquet(src)
+    with pytest.raises(StreamingQueryException):
+        ingest.upsert_stream(ingest.page_stream(spark, src), out, ck).awaitTermination()
+    newest.write_text(whole)
+    ingest.upsert_stream(ingest.page_stream(spark, src), out, ck).awaitTermination()
+    assert store.load(spark, out).docs.count() == 3
 
 
 def test_pacing_and_dedup_stream(spark, tmp_path):
