@@ -51,6 +51,10 @@ def p4_curves(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.judged(table(spark, d, "docs")).distinct()
 
 
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.judged(table(spark, d, "docs")).select("seq", "n_words", "n_types").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return main_body.found_blocks(table(spark, d, "fetched"))
 
@@ -92,10 +96,14 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p9_statistics(spark, d).select("doc_id", "n_chars", "n_words", "n_lines", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("duplicate_lines", 6).alias("duplicate_lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        *(p1_found, p1_counts, p2_found, p2_report, p2_totals, p3_found, p3_cleaned, p3_blocks, p4_found, p4_curves),
-        *(p5_found, p5_texts, p6_found, p6_languages, p7_ids, p8_found, p8_mixed, p8_shares, p9_found, p9_statistics),
+        *(p1_found, p1_counts, p2_found, p2_report, p2_totals, p3_found, p3_cleaned, p3_blocks, p4_found, p4_curves, p4_counts),
+        *(p5_found, p5_texts, p6_found, p6_languages, p7_ids, p8_found, p8_mixed, p8_shares, p9_found, p9_statistics, p9_counts),
     )
     return {f.__name__: f for f in own}
 
@@ -132,5 +140,13 @@ kept AS (SELECT x.seq, x.doc_id, x.url, x.content, coalesce(string_agg(line, chr
   FROM x LEFT JOIN r ON x.seq = r.seq AND x.url = r.url AND x.line_no = r.line_no GROUP BY ALL)
 SELECT d0.seq, d0.doc_id, d0.url, CASE WHEN d0.content IS NULL THEN NULL ELSE kept.text END AS content, CAST(coalesce(removed, 0) AS INTEGER) AS removed
 FROM d0 LEFT JOIN kept ON d0.seq = kept.seq AND d0.doc_id IS NOT DISTINCT FROM kept.doc_id AND d0.url IS NOT DISTINCT FROM kept.url AND d0.content = kept.content""",
+        "p4_counts": r"""WITH w AS (SELECT DISTINCT seq, content, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS words FROM docs WHERE content IS NOT NULL)
+SELECT DISTINCT seq, CAST(len(words) AS BIGINT) AS n_words, CAST(len(list_distinct(words)) AS BIGINT) AS n_types FROM w WHERE len(words) > 0""",
+        "p9_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+x AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+(?:[''’\-][\p{L}\p{M}\p{N}]+)*') AS words,
+  list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g'))), lambda l: l <> '') AS lines FROM d)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(words) AS BIGINT) AS n_words, CAST(len(lines) AS BIGINT) AS n_lines,
+  CASE WHEN len(words) = 0 THEN 0::DOUBLE ELSE round(list_sum(list_transform(words, lambda w: length(w)))::DOUBLE / len(words), 6) END AS mean_word_length,
+  CASE WHEN len(lines) = 0 THEN 0::DOUBLE ELSE round(1 - len(list_distinct(lines))::DOUBLE / len(lines), 6) END AS duplicate_lines FROM x""",
         "p3_found": f"WITH {_LINES} SELECT DISTINCT seq, CAST(line_no AS INTEGER) AS line_no FROM l JOIN k USING (site, k)",
     }
