@@ -27,7 +27,6 @@ PART_PAGES, PART_BLOCKS = 128, 1 << 16  # fetches of them, and their blocks, in
 MIN_SHARED = 0.25  # share of the compared neighbours that hold a block before it is dropped
 MIN_HOSTS = 3  # hosts in which a block is shared before it goes everywhere
 MIN_RATE = 0.5  # share of its occurrences that are shared
-SALTS = 16
 
 _PARSED = "fetch_id long, host string, path string, texts array<string>, keys array<long>, tags array<string>, places array<string>, free array<int>"
 _COMPARED = "fetch_id long, page long, host string, keys array<long>, fixed array<boolean>, places array<string>, times array<int>, near int, names array<string>, unshared array<long>"
@@ -100,23 +99,21 @@ def compared_pages(pages: DataFrame) -> DataFrame:
     of its fetch_id.
 
     Groups are bounded: GROUP_URLS urls by rank and at most about PART_PAGES of their fetches or
-    PART_BLOCKS of their blocks, and one reference page (the latest fetch) of each url in reach. So neither a large host nor a url
-    fetched over and over meets in one task. Urls of a host whose latest pages have the same blocks
-    share a rank: copies are judged by the same neighbours, never by each other.
+    PART_BLOCKS of their blocks, and one reference page (the latest fetch) of each url in reach. So
+    neither a large host nor a url fetched over and over meets in one task; the joins by url are plain
+    ones, which adaptive execution splits where a url is hot. Urls of a host whose latest pages have
+    the same blocks share a rank: copies are judged by the same neighbours, never by each other.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    cost = 1 / PART_PAGES + F.size("keys") / PART_BLOCKS  # of a part
+    cost = (PART_BLOCKS // PART_PAGES + F.size("keys")).cast("long")  # in whole numbers: any order of summing gives the same parts
     latest = pages.groupBy("host", "path").agg(F.max(F.struct("fetch_id", F.xxhash64("keys").alias("look"))).alias("latest"), F.sum(cost).alias("n"))
     urls = latest.select("host", "path", F.col("latest.fetch_id").alias("ref_id"), F.col("latest.look").alias("look"), "n")
     looks = urls.groupBy("host", "look").agg(F.min(F.struct("path", "ref_id")).alias("first"), F.sum("n").alias("n"))
     firsts = looks.select("host", "look", F.col("first.path").alias("first_path"), F.col("first.ref_id").alias("ref_id"), "n")
     ranked = dense_ids(firsts, ["host", "first_path"], "rank").withColumn("group", F.floor(F.col("rank") / GROUP_URLS).cast("long"))
-    groups = ranked.groupBy("group").agg(F.ceil(F.sum("n")).cast("int").alias("parts"))
-    copies = urls.select("host", "path", "look", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("s"))
-    placed = copies.join(ranked.drop("first_path", "n").withColumn("s", salts), ["host", "look", "s"]).drop("look", "s").join(groups, "group").withColumn("salt", salts)
+    groups = ranked.groupBy("group").agg(F.ceil(F.sum("n") / PART_BLOCKS).cast("int").alias("parts"))
+    placed = urls.select("host", "path", "look").join(ranked.drop("first_path", "n"), ["host", "look"]).drop("look").join(groups, "group")
     narrow = pages.select("fetch_id", page_id().alias("page"), "host", "path", "keys", "tags", "places", "free")
-    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("fetch_id"), F.lit(SALTS)).cast("int"))
-    rows = salted.join(placed, ["host", "path", "salt"])
+    rows = narrow.join(placed, ["host", "path"])
     wide = ["fetch_id", "page", "rank", "host", "keys", "tags", "places", "free"]
     own = rows.select("group", F.pmod(F.xxhash64("fetch_id", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("context"), *wide)
     at = F.col("rank") % GROUP_URLS
