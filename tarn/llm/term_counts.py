@@ -19,7 +19,6 @@ from tarn.plans.session import shipped
 
 BLOCK = 2048  # identifiers a count array covers
 HELD_BLOCKS = 1024  # arrays a task holds before it hands them on: 1024 * 2048 * 16 bytes = 32 MB
-SALTS = 8  # parts a term's pairs are spread over where they meet the dictionary
 RARE_MAX_DOCS = 2
 COMMON_MIN_SHARE = 0.54
 _PARTIAL = "block long, slots array<int>, occurrences array<long>, records array<long>"
@@ -118,9 +117,9 @@ def term_counts(postings: DataFrame) -> DataFrame:
     """
     pairs = distinct_pairs(postings)
     terms = dictionary(pairs)
-    salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod("doc_id", F.lit(SALTS)).cast("int")
-    encoded = pairs.withColumn("salt", salt).join(salted, ["term", "salt"]).select("term_id", "term_freq")
+    # a hot term's pairs make one partition of this join large, which adaptive execution splits by its
+    # size: the dictionary's side is one row, and nothing behind the join asks for a distribution
+    encoded = pairs.join(terms, "term").select("term_id", "term_freq")
     partial = shipped(encoded).mapInArrow(_accumulate, _PARTIAL)
     summed = partial.repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, _COUNTS)
     return summed.join(terms, "term_id").select("term", "term_id", "occurrences", "records")
