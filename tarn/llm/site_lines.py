@@ -1,19 +1,22 @@
 """Problem 3: lines that one site repeats over its pages.
 
-Each line becomes a 64-bit identifier of (site, normalised line). Tasks concatenate the identifiers
-of their documents and build a suffix array by prefix doubling; common prefixes of neighbouring
-suffixes give the repeated blocks: single lines, and maximal runs of several, which differ in what
-stands before them and in what follows. What a task found is then summed over the site: no site is
-ever gathered into one task, and nothing but found blocks is exchanged. A document loses the lines
-that an occurrence of a block of many pages covers.
+Each line becomes a 64-bit identifier of (site, normalised line). Single lines are counted first; a
+longer block can only stand within a run of lines that are repeated themselves. Tasks concatenate
+such runs and build a suffix array by prefix doubling; common prefixes of neighbouring suffixes give
+the repeated blocks: maximal runs of several lines, which differ in what stands before them and in
+what follows. A site of one chunk has its blocks from that. Those of a larger site may be maximal
+over the site though in none of its parts, so the parts give bounds, then places to look at, then
+exact counts; no large site is ever gathered into one task. A document loses the lines that an
+occurrence of a block of many pages covers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -23,8 +26,8 @@ from tarn.plans.session import shipped, spread, stored
 
 MIN_URLS = 6
 MIN_SHARE = 0.2
-CHUNK_LINES = 1 << 18  # lines of one suffix array
-_BLOCKS = "site string, block long, length int, url_id long"
+CHUNK_LINES = 1 << 18  # lines of one suffix array, and of a part of a site
+_BORDER = np.iinfo(np.int64)  # its limits stand for what lies beyond a run: each time something else
 
 
 def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,17 +93,13 @@ class RunHashes:
         return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def maximal_blocks(names: np.ndarray, urls: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, set[int]]]]:
-    """The suffix array of `names`, its common prefixes, and (start, length, urls) of the repeated
-    runs of two symbols or more under two urls or more that can't be made longer on either side
-    without losing an occurrence.
+def _intervals(order: np.ndarray, lcp: np.ndarray, names: np.ndarray, urls: np.ndarray) -> Iterator[tuple[int, int, bool, set[int]]]:
+    """(start, length, whether different symbols stand before, urls) of the runs of `names` that
+    different symbols follow; the set of urls holds until the next one is asked for.
 
-    Every document in `names` ends with a mark that stands nowhere else, so no run crosses one.
     Intervals of the suffix array with a common prefix are opened and closed on a stack; url sets
     are joined small into large, so texts of one line over and over take near linear time too.
     """
-    order, _, lcp = suffix_array(names)
-    found: list[tuple[int, int, set[int]]] = []
     before, at, common, url = np.r_[-1, names[:-1]][order].tolist() if len(names) else [], order.tolist(), [*lcp.tolist(), 0], urls[order].tolist()
     several = -2
     stack: list[list] = []  # open intervals: prefix, a start, what stands before all, urls
@@ -122,56 +121,189 @@ def maximal_blocks(names: np.ndarray, urls: np.ndarray) -> tuple[np.ndarray, np.
                 join(stack[-1], leaf)
         while stack and stack[-1][0] > ahead:
             top = stack.pop()
-            if top[0] >= 2 and top[2] == several and len(top[3]) >= 2:
-                found.append((top[1], top[0], set(top[3])))
+            yield top[1], top[0], top[2] == several, top[3]
             if stack and stack[-1][0] >= ahead:
                 join(stack[-1], top)
             elif ahead:
                 stack.append([ahead, *top[1:]])
+
+
+def maximal_blocks(names: np.ndarray, urls: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, set[int]]]]:
+    """The suffix array of `names`, its common prefixes, and (start, length, urls) of the repeated
+    runs of two symbols or more under two urls or more that can't be made longer on either side
+    without losing an occurrence.
+
+    Every document in `names` ends with a mark that stands nowhere else, so no run crosses one.
+    These are the blocks of the whole only if `names` is: see repeated_blocks().
+    """
+    order, _, lcp = suffix_array(names)
+    found = [(start, length, set(own)) for start, length, several, own in _intervals(order, lcp, names, urls) if length >= 2 and several and len(own) >= 2]
     return order, lcp, found
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (block, url) of each chunk: columns site, url_id, ids (without blank lines)."""
-
-    def chunk(rows: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
-        n = sum(len(r[2]) for r in rows) + len(rows)
-        raw, doc = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        end = np.zeros(n, dtype=bool)
-        at = 0
-        for i, (_, _, ids) in enumerate(rows):
-            raw[at : at + len(ids)] = ids
-            doc[at : at + len(ids) + 1] = i
-            at += len(ids) + 1
-            end[at - 1] = True
-        names = np.unique(raw, return_inverse=True)[1].astype(np.int64) + n
-        names[end] = np.arange(end.sum())  # every document ends with a mark of its own
-        urls = np.array([r[1] for r in rows], dtype=np.int64)[doc]
-        order, lcp, longer = maximal_blocks(names, urls)
-        # the shortest blocks: suffixes that share their first line, once a url
-        group, start = np.cumsum(lcp < 1), order
-        start, group = start[~end[start]], group[~end[start]]
-        take = np.lexsort((urls[start], group))
-        g, u, start = group[take], urls[start[take]], start[take]
-        first = np.r_[True, (g[1:] != g[:-1]) | (u[1:] != u[:-1])] if len(g) else np.zeros(0, dtype=bool)
-        starts = np.r_[start[first], np.array([s for s, _, own in longer for _ in own], dtype=np.int64)]
-        lengths = np.r_[np.ones(int(first.sum()), dtype=np.int64), np.array([k for _, k, own in longer for _ in own], dtype=np.int64)]
-        under = np.r_[u[first], np.array([x for *_, own in longer for x in own], dtype=np.int64)]
-        sites = pa.array([r[0] for r in rows]).take(pa.array(doc[starts]))
-        return pa.RecordBatch.from_arrays([sites, pa.array(RunHashes(raw)(starts, lengths)), pa.array(lengths.astype(np.int32)), pa.array(under)], names=["site", "block", "length", "url_id"])
-
-    held, n = [], 0
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """site, url_id, site_urls, run: the runs of two lines or more that are all among `lines`, those
+    that their site repeats. Columns site, url_id, site_urls, ids (without blank lines), lines."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(3)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(ids).to_numpy(zero_copy_only=False))
+        # identifiers differ between sites, so all sites of the batch are looked up at once
+        first = np.unique(batch.column(0).dictionary_encode().indices.to_numpy(), return_index=True)[1]
+        known = np.unique(batch.column(4).take(pa.array(first)).flatten().to_numpy(zero_copy_only=False))
+        hit = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat
+        apart = np.r_[True, row[1:] != row[:-1]]
+        start = np.flatnonzero(hit & (apart | ~np.r_[False, hit[:-1]]))
+        stop = np.flatnonzero(hit & (np.r_[apart[1:], True] | ~np.r_[hit[1:], False])) + 1
+        long = stop - start >= 2
+        start, stop = start[long], stop[long]
+        edge = np.zeros(len(flat) + 1, dtype=np.int64)
+        edge[start] += 1
+        edge[stop] -= 1
+        run = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(stop - start)].astype(np.int32)), pa.array(flat[np.cumsum(edge[:-1]) > 0]))
+        own = pa.array(row[start])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(own) for i in range(3)), run], names=["site", "url_id", "site_urls", "run"])
+
+
+class _Chunk:
+    """Some rows with their runs behind one another, a mark that stands nowhere else behind each."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.rows = rows
+        runs = rows["run"].combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        self.stop = np.cumsum(sizes) - 1  # where each row's mark stands
+        n = int(sizes.sum())
+        self.end = np.zeros(n, dtype=bool)
+        self.end[self.stop] = True
+        self.raw = np.zeros(n, dtype=np.int64)
+        self.raw[~self.end] = runs.flatten().to_numpy(zero_copy_only=False)
+        self.names = np.unique(self.raw, return_inverse=True)[1].astype(np.int64) + n
+        self.names[self.end] = np.arange(len(sizes))
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.site = rows["site"].combine_chunks().dictionary_encode().indices.to_numpy()
+        self.asks = pc.is_null(rows["url_id"]).to_numpy()  # rows that bring no page
+        # numbers of the urls, 0 where there is none
+        self.url = np.where(self.asks, 0, np.unique(pc.fill_null(rows["url_id"], 0).to_numpy(), return_inverse=True)[1] + 1)
+
+    def sites_of(self, rows: np.ndarray) -> pa.Array:
+        return self.rows["site"].combine_chunks().take(pa.array(rows, pa.int64()))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[_Chunk]:
+    """The rows in chunks of `limit` lines and marks or somewhat more; no group is divided, as its
+    rows come together. A chunk may hold many groups."""
+    held, n, last = [], 0, None
     for batch in batches:
-        sites, urls, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-        for i in range(batch.num_rows):
-            own = ids[i].values.to_numpy(zero_copy_only=False)
-            held.append((sites[i], urls[i], own))
-            n += len(own)
-            if n >= CHUNK_LINES:
-                yield chunk(held)
-                held, n = [], 0
+        if not batch.num_rows:
+            continue
+        group = batch.column("group").to_numpy()
+        total = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(batch.column("run")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)]
+        begin = 0
+        for at in np.flatnonzero(np.r_[group[0] != last, group[1:] != group[:-1]]).tolist():
+            if n + total[at] - total[begin] >= limit:
+                yield _Chunk(pa.Table.from_batches([*held, batch.slice(begin, at - begin)]))
+                held, n, begin = [], 0, at
+        held.append(batch.slice(begin))
+        n, last = n + int(total[-1] - total[begin]), group[-1]
     if held:
-        yield chunk(held)
+        yield _Chunk(pa.Table.from_batches(held))
+
+
+def _outermost(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The (start, length) that lie in no other one."""
+    out, reached = [], 0
+    for start, length in sorted(blocks, key=lambda b: (b[0], -b[1])):
+        if start + length > reached:
+            out.append((start, length))
+            reached = start + length
+    return out
+
+
+def _local_blocks(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """site, block, length, n_urls, run. For a site in one part, its blocks under many urls. For one
+    in several parts, `run` holds lines such that each block under many urls of the site lies in one
+    of them: it has its share of urls in one part at least, as urls are in one part each."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, limit):
+            split, share = chunk.rows["split"].to_numpy(), chunk.rows["share"].to_numpy()
+            pair = np.unique(np.stack([chunk.site, chunk.url]), axis=1)
+            need = share * np.bincount(pair[0])[chunk.site] * (1 - 1e-9)  # rounding must not lose one
+            found = [(s, k, len(own)) for s, k, own in maximal_blocks(chunk.names, chunk.url[chunk.row])[2] if len(own) >= need[chunk.row[s]]]
+            whole = np.flatnonzero(split & (need <= 1))  # one page is enough here
+            within = _outermost([(s, k) for s, k, _ in found if split[chunk.row[s]]] + [(int(chunk.stop[r] - k), k) for r in whole.tolist() for k in [len(chunk.rows["run"][r])]])
+            found = [f for f in found if not split[chunk.row[f[0]]]]
+            start = np.array([f[0] for f in found] + [s for s, _ in within], dtype=np.int64)
+            length = np.array([f[1] for f in found] + [k for _, k in within], dtype=np.int64)
+            runs = pa.array([None] * len(found) + [chunk.raw[s : s + k] for s, k in within], pa.list_(pa.int64()))
+            n_urls = pa.array([f[2] for f in found] + [None] * len(within), pa.int64())
+            columns = [chunk.sites_of(chunk.row[start]), pa.array(RunHashes(chunk.raw)(start, length)), pa.array(length.astype(np.int32)), n_urls, runs]
+            yield pa.RecordBatch.from_arrays(columns, names=["site", "block", "length", "n_urls", "run"])
+
+    return find
+
+
+def _branches(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """site, block, length of the runs of lines in the rows without a url that pages of the chunk
+    have too, but don't go on as those rows do. A block of the site that lies in such a row is among
+    these in one part at least, or all pages would go on alike and it weren't maximal."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, limit):
+            order, _, lcp = suffix_array(chunk.names)
+            found = [(s, k) for s, k, _, own in _intervals(order, lcp, chunk.names, chunk.url[chunk.row]) if k >= 2 and len(own) >= 2 and 0 in own]
+            start, length = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            columns = [chunk.sites_of(chunk.row[start]), pa.array(RunHashes(chunk.raw)(start, length)), pa.array(length.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["site", "block", "length"])
+
+    return find
+
+
+_COUNTS = "site string, block long, length int, n_urls long, least_before long, most_before long, least_after long, most_after long"
+
+
+def _counts(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """_COUNTS of the blocks that the rows without a url name: the urls of the chunk they stand
+    under, least and largest identifier before and after them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, limit):
+            asked = np.flatnonzero(chunk.asks)
+            blocks = pc.fill_null(chunk.rows["block"], 0).to_numpy()[asked]
+            lengths = pc.fill_null(chunk.rows["length"], 0).to_numpy()[asked]
+            hashes, left = RunHashes(chunk.raw), chunk.stop[chunk.row] - np.arange(len(chunk.raw))
+            before = np.r_[True, chunk.end[:-1]], np.r_[0, chunk.raw[:-1]]
+            for length in np.unique(lengths).tolist():
+                own = asked[lengths == length]
+                wanted, first = np.unique(blocks[lengths == length], return_index=True)
+                at = np.flatnonzero(left >= length)
+                got = hashes(at, length)
+                which = np.minimum(np.searchsorted(wanted, got), len(wanted) - 1)
+                at, which = at[wanted[which] == got], which[wanted[which] == got]
+                if not len(at):
+                    continue
+                take = np.argsort(which, kind="stable")
+                at, which = at[take], which[take]
+                begin = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+                pair = np.unique(np.stack([which, chunk.url[chunk.row[at]]]), axis=1)[0]
+                n_urls = np.bincount(pair, minlength=len(wanted))[which[begin]]
+                sides = []
+                for outside, line in ((before[0][at], before[1][at]), (chunk.end[at + length], chunk.raw[at + length])):
+                    sides += [np.minimum.reduceat(np.where(outside, _BORDER.min, line), begin), np.maximum.reduceat(np.where(outside, _BORDER.max, line), begin)]
+                columns = [chunk.sites_of(own[first[which[begin]]]), pa.array(wanted[which[begin]]), pa.array(np.full(len(begin), length, dtype=np.int32)), pa.array(n_urls.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, sides)], names=[c.split()[0] for c in _COUNTS.split(", ")])
+
+    return count
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the hash of a block of one line in place of the line, their second column."""
+    for batch in batches:
+        ids = batch.column(1).to_numpy(zero_copy_only=False)
+        yield batch.set_column(1, "block", pa.array(RunHashes(ids)(np.arange(len(ids)), 1)))
 
 
 def _ids(text: str, of_site: str) -> Column:
@@ -188,16 +320,62 @@ def line_ids(docs: DataFrame) -> DataFrame:
 
 def repeated_blocks(own: DataFrame, min_urls: int = MIN_URLS, min_share: float = MIN_SHARE) -> DataFrame:
     """site, block (hash), length (lines), n_urls, site_urls: the blocks that stand under many urls
-    of their site. `own` is of line_ids().
+    of their site, single lines and the site's maximal blocks. `own` is of line_ids().
 
-    Single lines are counted exactly. A longer block counts the urls of the tasks in which it is
-    maximal; as each line of it stands under at least as many urls, that changes no line's fate.
+    All are counted exactly, however the rows are split: a run of lines whose single lines are not
+    repeated is no block, a site of up to CHUNK_LINES lines in repeated runs stands in one task, and
+    the parts of a larger one are summed up by _of_parts().
     """
     narrow = own.select("site", F.xxhash64("url").alias("url_id"), F.filter("ids", lambda x: x.isNotNull()).alias("ids"))
-    found = shipped(narrow.where(F.size("ids") > 0)).mapInArrow(_blocks, _BLOCKS)
-    per_block = found.distinct().groupBy("site", "block", "length").agg(F.count("*").alias("n_urls"))
+    many = (F.col("n_urls") >= min_urls) & (F.col("n_urls") >= min_share * F.col("site_urls"))
     per_site = own.select("site", "url").distinct().groupBy("site").agg(F.count("*").alias("site_urls"))
-    return per_block.where(F.col("n_urls") >= min_urls).join(per_site, "site").where(F.col("n_urls") >= min_share * F.col("site_urls"))
+    per_line = narrow.select("site", "url_id", F.explode("ids").alias("line")).distinct().groupBy("site", "line").agg(F.count("*").alias("n_urls"))
+    single = stored(per_line.where(F.col("n_urls") >= min_urls).join(per_site, "site").where(many).select("site", "line", F.lit(1).alias("length"), "n_urls", "site_urls"))
+    known = single.groupBy("site", "site_urls").agg(F.collect_list("line").alias("lines"))
+    joined = narrow.where(F.size("ids") > 1).join(known, "site").select("site", "url_id", "site_urls", "ids", "lines")
+    runs = stored(shipped(joined).mapInArrow(_runs, "site string, url_id long, site_urls long, run array<long>"))
+    sizes = runs.groupBy("site").agg(F.ceil(F.sum(F.size("run") + 1) / CHUNK_LINES).alias("parts"), F.count_distinct("url_id").alias("reach"))
+    placed = runs.join(sizes, "site").select(
+        _group("site", F.pmod("url_id", "parts")).alias("group"),
+        *("site", "url_id", "run", (F.col("parts") > 1).alias("split")),
+        (F.greatest(F.lit(float(min_urls)), min_share * F.col("site_urls")) / F.col("reach")).alias("share"),
+    )
+    found = stored(_grouped(placed).mapInArrow(_local_blocks(CHUNK_LINES), "site string, block long, length int, n_urls long, run array<long>"))
+    longer, within = found.where(F.col("run").isNull()).select("site", "block", "length", "n_urls"), found.where(F.col("run").isNotNull())
+    if not within.isEmpty():
+        longer = longer.union(_of_parts(placed.where("split"), within.select("site", "run").distinct(), sizes.select("site", "parts")))
+    longer = longer.join(single.select("site", "site_urls").distinct(), "site").where(many)
+    return single.mapInArrow(_single, longer.schema).union(longer)
+
+
+def _group(of_site: str, part: Column) -> Column:
+    return F.xxhash64(of_site, part.cast("long"))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """`rows` with those of a `group` in one task, together."""
+    return shipped(rows.repartition("group").sortWithinPartitions("group"))
+
+
+def _of_parts(pages: DataFrame, within: DataFrame, sizes: DataFrame) -> DataFrame:
+    """site, block, length, n_urls: the maximal blocks that lie in runs of `within`, over all parts
+    of their sites.
+
+    A block may be followed by one line throughout a part and by another in the next, or stand but
+    once in each. So the runs go to every part of their site, which names the places where its pages
+    leave them; these are then counted in every part, with what stands on either side. A fifth of the
+    urls has a block, so runs and places grow with the lines of a page, not with the pages.
+    """
+    parts = sizes.where("parts > 1").select("site", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    def beside(asked: DataFrame) -> DataFrame:
+        return _grouped(pages.select("group", "site", "url_id", "run").unionByName(asked.join(parts, "site").withColumn("group", _group("site", F.col("part"))).drop("part"), allowMissingColumns=True))
+
+    places = beside(within).mapInArrow(_branches(CHUNK_LINES), "site string, block long, length int").distinct()
+    counted = beside(places).mapInArrow(_counts(CHUNK_LINES), _COUNTS).groupBy("site", "block", "length")
+    sides = [F.min("least_before"), F.max("most_before"), F.min("least_after"), F.max("most_after")]
+    total = counted.agg(F.sum("n_urls").alias("n_urls"), (sides[0] < sides[1]).alias("opens"), (sides[2] < sides[3]).alias("closes"))
+    return total.where("opens and closes and n_urls >= 2").drop("opens", "closes")
 
 
 def _by_length(blocks: pa.ListScalar) -> dict[int, np.ndarray]:

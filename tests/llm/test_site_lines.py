@@ -4,8 +4,10 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarn.llm import site_lines
 from tarn.llm.site_lines import suffix_array
@@ -69,6 +71,59 @@ def test_blocks(spark):
     assert 6 <= got[3][1] <= 16 and 6 <= got[4][1] <= 10  # of the tasks in which they are maximal
 
 
+def blocks_of(df):
+    """Hash and length to (site, n_urls, site_urls) of each block of several lines."""
+    rows = site_lines.repeated_blocks(site_lines.line_ids(df)).where("length > 1").collect()
+    out = {(r.block, r.length): (r.site, r.n_urls, r.site_urls) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def brute_site_blocks(df):
+    """What blocks_of() is to give, by trying all runs of all documents of a site."""
+    runs, urls, out = defaultdict(list), defaultdict(set), {}
+    for n, r in enumerate(site_lines.line_ids(df).collect()):
+        ids = [x for x in r.ids if x is not None]
+        urls[r.site].add(r.url)
+        for i in range(len(ids)):
+            for j in range(i + 2, len(ids) + 1):
+                runs[r.site, tuple(ids[i:j])].append((r.url, ids[i - 1] if i else ("start", n), ids[j] if j < len(ids) else ("end", n)))
+    for (of_site, run), places in runs.items():
+        under, before, after = (len(set(x)) for x in zip(*places, strict=True))
+        if under >= 6 and 5 * under >= len(urls[of_site]) and before > 1 and after > 1:
+            block = int(site_lines.RunHashes(np.array(run, dtype=np.int64))(np.array([0]), len(run))[0])
+            out[block, len(run)] = (of_site, under, len(urls[of_site]))
+    return out
+
+
+def test_blocks_do_not_depend_on_the_split(spark, monkeypatch):
+    # each task sees "one two" before one other line only, or once
+    rows = [(i, f"http://h/{i}", f"own{chr(97 + i)}\none\ntwo\n{'left' if i % 2 else 'right'}\n{chr(97 + i)}end") for i in range(10)]
+    df = spark.createDataFrame(rows, DOC)
+    monkeypatch.setattr(site_lines, "spread", lambda x: x.repartitionByRange(2, F.col("seq") % 2))
+    for limit in (1 << 18, 12):
+        monkeypatch.setattr(site_lines, "CHUNK_LINES", limit)
+        assert {n: found[1] for (_, n), found in blocks_of(df).items()} == {2: 10}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_blocks_against_brute_force(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    menu = [f"menu {x}" for x in "abcdefgh"]
+    rows = []
+    for i in range(150):
+        host = rng.choice(["big"] * 4 + ["small", "tiny"])
+        at = rng.randint(0, 4)
+        body = [*menu[at : at + rng.randint(1, 5)], f"own {chr(97 + i % 26)}x", *rng.choices(["foot", "share", "top", ""], k=rng.randint(0, 6)), *menu[: rng.randint(0, 3)]]
+        rows.append((i, f"http://{host}/p{i % 110}", "\n".join(body)))
+    df = spark.createDataFrame([*rows, *rows[:20], (900, None, "menu a\nmenu b"), (901, "http://big/x", None)], DOC)
+    want = brute_site_blocks(df)
+    assert len(want) > 10
+    for limit in (1 << 18, 200, 5):
+        monkeypatch.setattr(site_lines, "CHUNK_LINES", limit)
+        assert blocks_of(df) == want
+
+
 def test_lines_go_by_the_blocks_that_cover_them(spark, monkeypatch):
     rows = [(i, f"http://h/{i}", f"own {chr(97 + i)}q\none\n\ntwo\nthree\n{chr(97 + i)}end") for i in range(10)]
     df = spark.createDataFrame(rows, DOC)
